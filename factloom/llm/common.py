@@ -77,14 +77,32 @@ class Scratch:
         where.getFileSystem(conf).delete(where, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(token: str, make: Callable[[], object]) -> object:
+    """What `make` makes, kept by this Python worker for later tasks; only the last two tokens are."""
+    if token not in _kept:
+        while len(_kept) > 1:
+            _kept.pop(next(iter(_kept)))
+        _kept[token] = make()
+    return _kept[token]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python of at most 8 MB, unless one row is longer."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`f` over Arrow batches (at most 64 MB each, Spark's own bound); batches it answers with None are left out."""
+    """`f` over Arrow batches; batches it answers with None are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

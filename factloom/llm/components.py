@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SALTS = 16
-
 
 def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
     """The least of each vertex's neighbours and itself; pre-aggregated before the shuffle by Spark."""
@@ -22,14 +20,14 @@ def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = _least(both, "u", "v")
-    return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return both.filter("v > u").join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges here go from the larger end u to the smaller v."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     m = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
+    links = down.join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
     return links.filter("u != v").distinct()
 
 

@@ -20,13 +20,15 @@ empty tables give empty results. Long texts are walked in slices that overlap by
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import load, union_all, whole
+from .common import kept, load, small_batches, union_all, whole
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
@@ -257,14 +259,14 @@ def _searched(docs: DataFrame, block: list[tuple], text: str, ident: DataType, k
     """`docs` rows that share an item, with the leaks; or, with keep_clean, the rows that don't, unchanged."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    holder: list[Items] = []
+    token = f"items {uuid.uuid4().hex}"
+    small_batches(docs.sparkSession)
     fields = [("item", to_arrow_type(ident)), ("distance", pa.int32()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]
 
     def run(batches):
-        if not holder:
-            holder.append(Items(block, similarity))
+        items = kept(token, lambda: Items(block, similarity))
         for b in batches:
-            found = holder[0].search_all([t or "" for t in b.column(text).to_pylist()])
+            found = items.search_all([t or "" for t in b.column(text).to_pylist()])
             mask = np.array([bool(f) != keep_clean for f in found], bool)
             if not mask.any():
                 continue

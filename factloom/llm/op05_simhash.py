@@ -1,10 +1,11 @@
 """Near-duplicates by SimHash fingerprints and a segment-popcount grid.
 
-A fingerprint is cut into 32 segments of 2 bits, each embedded as its bit count. The Manhattan distance
-of two embeddings is a lower bound of the Hamming distance, so fingerprints that differ in at most 4
-bits have a half (16 segments) within Manhattan distance 2. Two such halves share a grid cell among
-those at distance 1 or less of either: each fingerprint enters the about 25 cells around each of its
-halves, and an equi-join on the cell finds the candidates, verified by the exact count of differing bits.
+A fingerprint is cut into segments, each embedded as its bit count: in either half 8 segments of 2 bits
+and 16 of 1 bit. The Manhattan distance of two embeddings is a lower bound of the Hamming distance, so
+fingerprints that differ in at most 4 bits have a half within Manhattan distance 2. Two such halves share
+a grid cell among those at distance 1 or less of either: each fingerprint enters the about 29 cells around
+each of its halves, and an equi-join on the cell finds the candidates, verified by the exact count of
+differing bits. A half's embedding carries 28 bits, so cells are rarely shared by chance.
 
 Dense cells (more than DENSE members) are linked without pairs: fingerprints that differ in 4 bits or
 fewer have one between them, at 2 bits or fewer from both. Every member enters its 2081 neighbours at
@@ -18,7 +19,7 @@ their own to name (component_id is the least id that isn't null); empty tables g
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 DENSE = 48
+#: Segments of 2 bits in a half, and the bits that they take.
+PAIRS = 8
+PAIRED = (1 << 2 * PAIRS) - 1
 BLOCK = 1 << 15
 
 
@@ -67,20 +71,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return arrow_map(rows, run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def _counts() -> list[tuple[int, ...]]:
-    """Offsets of the cells at Manhattan distance 1 or less: none, or one segment up or down."""
-    return [(0, 0)] + [(s, d) for s, d in product(range(16), (1, -1))]
-
-
 def _half_cells(half: Column, side: int) -> Column:
-    """The cells around a half: bit counts of its 16 segments in base 4, one of them moved by one at most."""
-    pairs = half.bitwiseAND(F.lit(0x55555555)) + F.shiftright(half, 1).bitwiseAND(F.lit(0x55555555))
-    cells = []
-    for s, d in _counts():
-        count = F.shiftright(pairs, 2 * s).bitwiseAND(F.lit(3))
-        fits = F.lit(True) if d == 0 else (count < 2) if d > 0 else (count > 0)
-        cells.append(F.when(fits, (pairs + F.lit(d * (1 << (2 * s)))) * 2 + side))
-    return F.array_compact(F.array(*cells))
+    """The cells around a half: its segments' bit counts packed, one of them moved by one at most."""
+    low = half.bitwiseAND(F.lit(PAIRED))
+    counts = low.bitwiseAND(F.lit(0x55555555)) + F.shiftright(low, 1).bitwiseAND(F.lit(0x55555555))
+    packed = counts.bitwiseOR(half.bitwiseAND(F.lit(0xFFFFFFFF ^ PAIRED)))
+    moved = [packed]
+    for s in range(0, PAIRS * 2, 2):
+        count = F.shiftright(counts, s).bitwiseAND(F.lit(3))
+        moved += [F.when(count < 2, packed + F.lit(1 << s)), F.when(count > 0, packed - F.lit(1 << s))]
+    moved += [packed.bitwiseXOR(F.lit(1 << b)) for b in range(PAIRS * 2, 32)]
+    return F.array_compact(F.array(*[m * 2 + side for m in moved]))
 
 
 def cells(fp: Column) -> Column:
@@ -114,7 +115,7 @@ def links(fps: DataFrame, dense: int = DENSE, distance: int = DISTANCE) -> DataF
     masks = F.array(*[F.lit(m) for m in _near_masks()])
     around = crowd.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"))
     heads = around.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("mid", "a")
-    stars = around.join(heads, "mid").filter("fp != a").select("a", F.col("fp").alias("b"))
+    stars = around.join(heads.hint("merge"), "mid").filter("fp != a").select("a", F.col("fp").alias("b"))
     return union_all([pairs, stars]).distinct()
 
 
@@ -125,16 +126,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = stored(rows.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-reps")
     ab = links(reps.select("fp"))
     a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("v"))
-    edges = ab.join(a, "a").join(b, "b").select("u", "v").dropna()
+    edges = ab.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("u", "v").dropna()
     roots = components(edges, scratch)
-    named = reps.join(roots, reps["rep"] == roots["u"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    named = reps.join(roots.hint("merge"), reps["rep"] == roots["u"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return rows.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without near-duplicates: of each class the row with the least id stays, once; null ids stay."""
     kept = classes(docs, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(kept, key, "left_semi")
+    named = docs.join(kept.hint("merge"), key, "left_semi")
     return named.unionByName(docs.filter(F.col(key).isNull()))
 
 
