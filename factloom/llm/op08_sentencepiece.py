@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, load, stored, whole
+from .common import arrow_map, kept, load, stored, whole
 
 SPACE = "▁"
 DICTIONARY = 200_000
@@ -211,13 +212,12 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     if out in docs.columns:
         raise ValueError(f"the input already has a column {out}")
     model, known = codec_parts(docs, model_path, text)
-    shared, holder = docs.sparkSession.sparkContext.broadcast((model, known)), []
+    shared, token = docs.sparkSession.sparkContext.broadcast((model, known)), f"codec {uuid.uuid4().hex}"
     names = docs.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not holder:
-            holder.append(Codec(*shared.value))
-        parts = [holder[0].encode(t) for t in b.column(len(names)).to_pylist()]
+        codec = kept(token, lambda: Codec(*shared.value))
+        parts = [codec.encode(t) for t in b.column(len(names)).to_pylist()]
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], names=[*names, out])
@@ -232,16 +232,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model, known = codec_parts(docs, public_tokenizers.path("piece_bpe_32k.model"), "text")
-    shared, holder = spark.sparkContext.broadcast((model, known)), []
+    shared, token = spark.sparkContext.broadcast((model, known)), f"codec {uuid.uuid4().hex}"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not holder:
-            holder.append(Codec(*shared.value))
+        codec = kept(token, lambda: Codec(*shared.value))
         rows: list[list] = [[], [], [], []]
         for t in b.column(1).to_pylist():
-            ids = holder[0].encode(t)
+            ids = codec.encode(t)
             raw = ids.astype("<u4").tobytes()
-            for c, v in zip(rows, (len(ids), zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), holder[0].decode(ids) == t)):
+            for c, v in zip(rows, (len(ids), zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), codec.decode(ids) == t)):
                 c.append(v)
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(rows, types)]], names=["doc_id", "n_tokens", "ids_crc32", "ids_sha256", "round_trip"])
