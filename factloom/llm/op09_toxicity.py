@@ -3,8 +3,8 @@
 Two zstandard dictionaries hold the same background text; the one of each class also holds the phrases
 by which its labelled texts differ from the other's. A text is cut into overlapping windows; each is
 compressed with either dictionary, and a window that the toxic one shortens by more bytes than the
-ordinary one looks toxic. A logistic curve over the largest and the mean saving, fitted on the labelled
-rows, calibrates the score: 0.5 is the threshold.
+ordinary one looks toxic. The labelled rows tell the odds of each number of bytes; a logistic curve over
+their sum and their largest, fitted on the same rows, calibrates the score: 0.5 is the threshold.
 
 The fit reads at most FIT rows of each class, those with the least hash of their id, and none of more
 than FIT_CHARS characters. A phrase counts once for each pair of neighbours it was met between, so
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,52 +29,80 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, load, whole
 
-FIT, FIT_CHARS = 4000, 200_000
+FIT, FIT_CHARS = 1500, 100_000
 FOLDS = 5
-WINDOW, STRIDE = 80, 60
-BACKGROUND = 6144
+WINDOW, STRIDE = 48, 32
+BACKGROUND = 16384
 PHRASES = 4096
-MIN_CONTEXTS, MIN_ODDS, SHARE = 4, 1.5, 0.4
-LEVEL = 3
+MIN_CONTEXTS, MIN_ODDS, SHARE = 4, 1.5, 0.15
+CANDIDATES = 4000
+LEVEL = 9
+LEAD = 32
+#: Savings of windows are counted from -FLOOR to TOP bytes.
+FLOOR, TOP = 3, 12
+CLIP = 30.0
 _WORD = re.compile(r"\w+")
 
 
-def contrasts(texts: dict[int, list[str]]) -> dict[int, list[tuple[float, str, list[tuple[str, str]]]]]:
-    """Of each class the words that tell it from the other, best first, with neighbours they were met between."""
+def starts(word: str) -> set[str]:
+    """A word's beginnings of 3 to 8 letters, and the word itself, as they stand after a space."""
+    return {f" {word[:n]}" for n in range(3, min(8, len(word)) + 1)} | {f" {word} "}
+
+
+def _odds(a: float, b: float, total: dict[int, float], k: int) -> float:
+    return math.log((a + 0.5) / total[k]) - math.log((b + 0.5) / total[1 - k])
+
+
+def contrasts(texts: dict[int, list[str]]) -> dict[int, list[tuple[float, str]]]:
+    """Of each class the words and beginnings of words that tell it from the other, best first."""
+    words = {k: [_WORD.findall(t.lower()) for t in rows] for k, rows in texts.items()}
+    often: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for k, rows in words.items():
+        for w in rows:
+            for x, n in Counter(w).items():
+                for g in starts(x):
+                    often[k][g] += min(n, 4)
+    total = {k: sum(map(len, words[k])) + 1.0 for k in words}
+    rated = {k: sorted(((_odds(n, often[1 - k][g], total, k) * math.sqrt(n), g) for g, n in often[k].items() if n >= MIN_CONTEXTS), reverse=True)[:CANDIDATES] for k in words}
+    asked = {g for rows in rated.values() for _, g in rows}
     met: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    for k, rows in texts.items():
-        for t in rows:
-            w = ["", *_WORD.findall(t.lower()), ""]
-            for a, b, c in zip(w, w[1:], w[2:]):
-                met[k][b].add((a, c))
-    total = {k: sum(map(len, met[k].values())) + 1 for k in met}
+    for k, rows in words.items():
+        for w in rows:
+            for a, b, c in zip(["", *w], w, [*w[1:], ""]):
+                for g in starts(b) & asked:
+                    met[k][g].add(zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass")))
     found: dict[int, list] = {0: [], 1: []}
     for k in met:
-        for w, near in met[k].items():
-            if len(near) >= MIN_CONTEXTS:
-                odds = math.log((len(near) + 0.5) / total[k]) - math.log((len(met[1 - k].get(w, ())) + 0.5) / total[1 - k])
-                if odds > MIN_ODDS:
-                    found[k].append((odds * math.sqrt(len(near)), w, sorted(near)[:3]))
+        for g, near in met[k].items():
+            odds = _odds(len(near), len(met[1 - k].get(g, ())), total, k)
+            if len(near) >= MIN_CONTEXTS and odds > MIN_ODDS:
+                found[k].append((odds * math.sqrt(len(near)), len(g), g))
     best = max((x[0] for rows in found.values() for x in rows), default=0)
-    return {k: sorted((x for x in rows if x[0] >= SHARE * best), key=lambda x: (-x[0], x[1])) for k, rows in found.items()}
+    out: dict[int, list[tuple[float, str]]] = {0: [], 1: []}
+    for k, rows in found.items():
+        for score, _, g in sorted(rows, reverse=True):
+            if score >= SHARE * best and not any(g.startswith(x) or x.startswith(g) for _, x in out[k]):
+                out[k].append((score, g))
+    return out
 
 
 def dictionaries(texts: dict[int, list[str]]) -> dict[int, bytes]:
     """The content of both dictionaries: the shared background, then the class's phrases, the best last (nearest)."""
     lines = sorted(texts[0], key=lambda t: (len(t), t))
-    step = max(1, len(lines) // 64)
-    background = b" ".join(t.lower().encode()[:256] for t in lines[::step])[:BACKGROUND]
-    out = {}
+    background = b" ".join(t.lower().encode()[:384] for t in lines[:: max(1, len(lines) // 512)])[:BACKGROUND]
+    own: dict[int, bytes] = {}
     for k, rows in contrasts(texts).items():
         phrases, size = [], 0
-        for _, w, near in rows:
-            p = f" {w} ".encode()
+        for _, w in rows:
+            p = w.encode()
             if size + len(p) > PHRASES:
                 break
             phrases.append(p)
             size += len(p)
-        out[k] = background + b"".join(reversed(phrases)) + b" " * 8
-    return out
+        own[k] = b"".join(reversed(phrases))
+    # Bytes that no text has fill the shorter one up, so that the background lies equally far in both.
+    wide = max(map(len, own.values()))
+    return {k: background + b"\xff" * (wide - len(p)) + p for k, p in own.items()}
 
 
 def windows(text: str) -> list[bytes]:
@@ -82,22 +111,30 @@ def windows(text: str) -> list[bytes]:
 
 
 class Scorer:
-    def __init__(self, contents: dict[int, bytes], weights: list[float] | None = None) -> None:
+    def __init__(self, contents: dict[int, bytes], odds: list[float] | None = None, weights: list[float] | None = None) -> None:
         import zstandard
 
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        # A window begins as the background does, which either dictionary holds: without it, zstandard
+        # would store a window as it is if little is saved, and hide the difference.
+        self.lead = contents[0][:LEAD]
         self.press = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress for k, d in contents.items()}
-        self.weights = weights
+        self.odds, self.weights = odds, weights
 
-    def savings(self, text: str) -> tuple[float, float]:
-        """The largest and the mean number of bytes that the toxic dictionary saves beyond the ordinary one."""
-        a, b = self.press[0], self.press[1]
-        d = [len(a(w)) - len(b(w)) for w in windows(text)]
-        return float(max(d)), sum(d) / len(d)
+    def savings(self, text: str) -> np.ndarray:
+        """How many windows the toxic dictionary makes shorter than the ordinary one, by -FLOOR to TOP bytes."""
+        a, b, lead = self.press[0], self.press[1], self.lead
+        d = [len(a(lead + w)) - len(b(lead + w)) for w in windows(text)]
+        return np.bincount(np.clip(d, -FLOOR, TOP) + FLOOR, minlength=FLOOR + TOP + 1)
+
+    def evidence(self, counts: np.ndarray) -> tuple[float, float]:
+        """The sum over windows of the log odds of their savings, and the largest."""
+        odds = np.array(self.odds)
+        return float(np.clip(counts @ odds, -CLIP, CLIP)), float(odds[counts > 0].max())
 
     def score(self, text: str) -> float:
-        w, (top, mean) = self.weights, self.savings(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * top + w[2] * mean))))
+        w, (total, top) = self.weights, self.evidence(self.savings(text))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * total + w[2] * top))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -114,16 +151,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> dict:
-    """A model of (text, label) rows: {contents, weights}, or {prior} if a class has no row."""
+def fit(rows: list[tuple[str, int]], share_toxic: float | None = None) -> dict:
+    """A model of (text, label) rows: {contents, odds, weights}, or {prior} if a class has no row.
+
+    share_toxic is the share of label 1 among all labelled rows, if `rows` hold another.
+    """
     texts = {k: [t or "" for t, y in rows if y == k] for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return {"prior": float(bool(texts[1])) if rows else 0.0}
     contents = dictionaries(texts)
     plain = Scorer(contents)
-    x = np.array([plain.savings(t) for k in (0, 1) for t in texts[k]])
+    counts = {k: np.array([plain.savings(t) for t in texts[k]]) for k in (0, 1)}
+    share = {k: (c.sum(0) + 0.5) / (c.sum() + 0.5 * c.shape[1]) for k, c in counts.items()}
+    plain.odds = np.log(share[1] / share[0]).tolist()
+    x = np.array([plain.evidence(c) for k in (0, 1) for c in counts[k]])
     y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
-    return {"contents": contents, "weights": logistic(x, y).tolist()}
+    weights = logistic(x, y)
+    if share_toxic is not None and 0 < share_toxic < 1:
+        weights[0] += math.log(share_toxic / (1 - share_toxic)) - math.log(len(texts[1]) / len(texts[0]))
+    return {"contents": contents, "odds": plain.odds, "weights": weights.tolist()}
 
 
 def held_out(key: Column | str) -> Column:
@@ -137,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     few = F.broadcast(picked[0].unionByName(picked[1]))
     found = docs.select(F.col(key).alias("k"), whole(text).alias("t")).join(few, "k").filter(F.length("t") <= FIT_CHARS).select("k", "t", "y")
     got = sorted(found.collect(), key=lambda r: (r["y"], r["k"], r["t"]))
+    toxic = rows.agg(F.avg("y")).first()[0]
     # A key that very many rows share adds one row to the fit.
-    return fit([(r["t"], r["y"]) for i, r in enumerate(got) if i == 0 or (r["k"], r["y"]) != (got[i - 1]["k"], got[i - 1]["y"])])
+    return fit([(r["t"], r["y"]) for i, r in enumerate(got) if i == 0 or (r["k"], r["y"]) != (got[i - 1]["k"], got[i - 1]["y"])], toxic)
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -151,7 +198,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicit
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:
-            holder.append(Scorer(model["contents"], model["weights"]))
+            holder.append(Scorer(model["contents"], model["odds"], model["weights"]))
         scores = pa.array([holder[0].score(t) for t in b.column(len(names)).to_pylist()], pa.float64())
         return pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[*names, out])
 
