@@ -18,7 +18,7 @@ def pattern(syntax: Syntax, possessive: bool = True) -> str:
     possessive keeps Java from recursing over long quotes; other engines don't know the form.
     """
     p = "+" if possessive else ""
-    parts = [f"{re.escape(q)}(?s:(?:[^\\\\]|\\\\.)*?)(?:{re.escape(q)}|\\z)" for q in sorted(syntax.multi_quotes, key=len, reverse=True)]
+    parts = [f"{re.escape(q)}{_inside(q, possessive)}(?:{re.escape(q)}|\\\\?\\z)" for q in sorted(syntax.multi_quotes, key=len, reverse=True)]
     parts += [f"{re.escape(a)}(?s:.*?)(?:{re.escape(b)}|\\z)" for a, b in syntax.block]
     parts += [f"{re.escape(m)}[^\\n]*" for m in sorted(syntax.line, key=len, reverse=True)]
     parts += [f"{q}(?:[^\\\\\\n{q}]+{p}|(?s:\\\\.))*{p}(?:{q}|\\n|\\\\?\\z)" for q in syntax.quotes]
@@ -26,6 +26,15 @@ def pattern(syntax: Syntax, possessive: bool = True) -> str:
     return "|".join([*parts, f"[^{first}]+", "(?s:.)"])
 
 
+def _inside(quote: str, possessive: bool) -> str:
+    """What a quote over lines holds: anything up to its end, a backslash with what follows."""
+    if not possessive:
+        return "(?s:(?:[^\\\\]|\\\\.)*?)"
+    c = re.escape(quote[0])
+    alone = f"|{c}(?!{re.escape(quote[1:])})" if len(quote) > 1 else ""
+    return f"(?s:(?:[^\\\\{c}]++|\\\\.{alone})*+)"
+
+
 def strip_comments(text: Column, syntax: Syntax) -> Column:
     """The text without comments: a block comment leaves the line feeds it holds."""
     tokens = F.regexp_extract_all(text, F.lit(pattern(syntax)), F.lit(0))

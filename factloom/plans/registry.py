@@ -217,7 +217,7 @@ def dump(spark: SparkSession, d: str) -> DataFrame:
     li = li.withColumn("l_linenumber", F.row_number().over(order))
     body = F.array(
         F.concat(F.lit("  %"), F.col("l_linenumber") * 2, F.lit("!= dbg_stmt("), F.col("l_partkey"), F.lit(":"), F.col("l_suppkey"), F.lit(")")),
-        F.concat(F.lit("    %"), F.col("l_linenumber") * 2 + 1, F.when(F.col("l_returnflag") == "R", "!").otherwise(""), F.lit(" = mul(Flag("), "l_returnflag", F.lit(",x), %"), F.col("l_linenumber") * 2, F.lit("!, %"), "l_suppkey", F.lit(")")),
+        F.concat(F.lit("    %"), F.col("l_linenumber") * 2 + 1, F.when(F.col("l_returnflag") == "R", "!= mul(Flag(").otherwise(" = mul(Flag("), "l_returnflag", F.lit(",x), %"), F.col("l_linenumber") * 2, F.lit("!, %"), "l_suppkey", F.lit(")")),
     )
     lines = li.select(key, "l_linenumber", F.posexplode(body).alias("n", "value")).select(key, (F.col("l_linenumber") * 2 + F.col("n")).alias("at"), "value")
     heads = li.groupBy("l_orderkey").agg(F.count("*").alias("c"), F.max("l_linenumber").alias("top"))
