@@ -95,3 +95,60 @@ def languages(spark: SparkSession) -> DataFrame:
 
 def ecosystems(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ECOSYSTEMS, "ecosystem string, lockfiles array<string>, implies string, pins string")
+
+
+@dataclass(frozen=True)
+class Command:
+    """What a tool's command line must look like, and what it then does."""
+
+    prefix: tuple[str, ...] = ()
+    tasks: tuple[str, ...] = ("build",)
+    required: tuple[str, ...] = ()
+    rejected: tuple[str, ...] = ()
+    artifacts: tuple[str, ...] = ()
+
+
+_SCRIPT = ("javascript", "typescript")
+_COMPILE = ("--compile", "--compile=*")
+# Id, programs, languages, commands. A required or rejected argument ending in * is a prefix.
+TOOLS = [
+    ("astro", ("astro",), _SCRIPT, (Command(("check",), ("typecheck",)), Command(("build",), artifacts=("site",)))),
+    ("biome", ("biome",), _SCRIPT, (Command(("check",), ("lint", "format")), Command(("ci",), ("lint", "format")), Command(("lint",), ("lint",)), Command(("format",), ("format",)))),
+    ("cargo", ("cargo",), ("rust",), (Command(("test",), ("test",), artifacts=("binary",)), Command(("nextest",), ("test",), artifacts=("binary",)), Command(("clippy",), ("lint",)), Command(("fmt",), ("format",)), Command(("build",), artifacts=("binary",)), Command(("install",), artifacts=("binary",)), Command(("check",)))),
+    ("codespell", ("codespell",), (), (Command((), ("lint",)),)),
+    ("docker", ("docker",), (), (Command(("build",)),)),
+    ("javascript-formatter", ("prettier", "dprint"), _SCRIPT, (Command((), ("format",)),)),
+    ("javascript-linter", ("eslint", "oxlint"), _SCRIPT, (Command((), ("lint",)),)),
+    ("javascript-package-manager", ("bun", "npm", "pnpm", "yarn"), _SCRIPT, (Command(("test",), ("test",)), Command(("build",), required=("--compile",), artifacts=("binary",)), Command(("build",), required=("--compile=*",), artifacts=("binary",)), Command(("build",), required=("--target", "browser"), rejected=_COMPILE, artifacts=("site",)), Command(("build",), required=("--target=browser*",), rejected=_COMPILE, artifacts=("site",)))),
+    ("javascript-test-runner", ("vitest", "jest", "playwright"), _SCRIPT, (Command((), ("test",)),)),
+    ("napi", ("napi",), _SCRIPT, (Command(("build",), artifacts=("napi",)),)),
+    ("rustfmt", ("rustfmt",), ("rust",), (Command((), ("format",)),)),
+    ("site-builder", ("vite", "next", "gatsby"), _SCRIPT, (Command(("build",), artifacts=("site",)),)),
+    ("stylelint", ("stylelint",), ("css", "scss", "less"), (Command((), ("lint",)),)),
+    ("system-package-manager", ("apt", "apt-get"), (), (Command(("install",)),)),
+    ("tauri", ("tauri",), ("rust", "typescript"), (Command(("build",), artifacts=("tauri", "site")),)),
+    ("typescript", ("tsc", "tsgo", "vue-tsc"), _SCRIPT, (Command((), ("typecheck",)),)),
+    ("vale", ("vale",), (), (Command((), ("lint",)),)),
+]
+
+# Directories that hold what was made, and the files that tell so (none: always).
+TRAVERSAL = {
+    ".next": ("package.json",),
+    ".turbo": ("package.json",),
+    "__pycache__": (),
+    "build": ("package.json",),
+    "coverage": ("package.json",),
+    "dist": ("package.json",),
+    "node_modules": (),
+    "target": ("Cargo.toml",),
+}
+
+# Names that the update service gives to ecosystems.
+UPDATERS = {"bun": ("bun",), "cargo": ("cargo",), "npm": ("npm",), "pnpm": ("npm",), "yarn": ("npm",)}
+
+
+def commands(spark: SparkSession) -> DataFrame:
+    """(tool, program, languages, prefix, required, rejected, tasks, artifacts): a row per program and command."""
+    rows = [(t, p, list(ls), list(c.prefix), list(c.required), list(c.rejected), list(c.tasks), list(c.artifacts)) for t, ps, ls, cs in TOOLS for p in ps for c in cs]
+    text = "array<string>"
+    return spark.createDataFrame(rows, f"tool string, program string, languages {text}, prefix {text}, required {text}, rejected {text}, tasks {text}, artifacts {text}")

@@ -50,20 +50,31 @@ def _drop_while(tokens: Column, test) -> Column:
     return F.aggregate(tokens, zero, lambda a, t: F.when((F.size(a) == 0) & test(t), a).otherwise(F.array_append(a, t)))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_invocation(tokens: Column) -> Column:
     """struct<program, arguments> of a command line's words; null if no program is left."""
     setting = lambda t: t.contains("=") & ~t.startswith("=")
     rest = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
-    t = _drop_while(tokens, setting)
-    t = F.when(F.get(t, F.lit(0)) == "env", _drop_while(rest(t), setting)).otherwise(t)
-    t = F.when(F.get(t, F.lit(0)) == "sudo", _drop_while(rest(t), lambda x: x.startswith("-"))).otherwise(t)
     base = lambda x: F.substring_index(x, "/", -1)
-    program, one = base(F.get(t, F.lit(0))), F.get(t, F.lit(1))
-    two = rest(rest(t))
-    wrapped = program.isin("npx", "bunx") & one.isNotNull()
-    executed = (program.isin("npm", "pnpm") & (one == "exec") | (program == "yarn") & (one == "dlx")) & F.get(t, F.lit(2)).isNotNull()
     pair = lambda p, a: F.struct(p.alias("program"), a.alias("arguments"))
-    return F.when(executed, pair(base(F.get(t, F.lit(2))), rest(two))).when(wrapped, pair(base(one), two)).when(program.isNotNull() & (program != ""), pair(program, rest(t)))
+
+    def without_env(t: Column) -> Column:
+        return F.when(F.get(t, F.lit(0)) == "env", _drop_while(rest(t), setting)).otherwise(t)
+
+    def without_sudo(t: Column) -> Column:
+        return F.when(F.get(t, F.lit(0)) == "sudo", _drop_while(rest(t), lambda x: x.startswith("-"))).otherwise(t)
+
+    def unwrapped(t: Column) -> Column:
+        program, one, third = base(F.get(t, F.lit(0))), F.get(t, F.lit(1)), F.get(t, F.lit(2))
+        wrapped = program.isin("npx", "bunx") & one.isNotNull()
+        executed = (program.isin("npm", "pnpm") & (one == "exec") | (program == "yarn") & (one == "dlx")) & third.isNotNull()
+        return F.when(executed, pair(base(third), rest(rest(rest(t))))).when(wrapped, pair(base(one), rest(rest(t)))).when(program.isNotNull() & (program != ""), pair(program, rest(t)))
+
+    return _let(_drop_while(tokens, setting), lambda t: _let(without_env(t), lambda u: _let(without_sudo(u), unwrapped)))
 
 
 def type_shape(written: Column) -> Column:

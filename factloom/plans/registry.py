@@ -411,3 +411,9 @@ def codeowners_diagnostics(spark, d):
 def language_registry(spark, d):
     dimensions.check()
     return dimensions.languages(spark).select("language", "role", "syntax")
+
+
+from . import inventory_queries  # noqa: E402
+
+QUERIES.update(inventory_queries.QUERIES)
+ORACLE_SQL.update(inventory_queries.ORACLE_SQL)
