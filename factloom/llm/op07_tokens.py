@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, load, stored, whole
+from .common import arrow_map, kept, load, small_batches, stored, whole
 
 END = 2
 SHARD = 1 << 20
 STEP = 512
-MEMO = 600_000
+MEMO = 800_000
 MAGIC = b"DAC1"
 #: How the tokenizer cuts a text before it merges: fixed by its file.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,13 +57,13 @@ class Encoder:
         out, memo = [], self.memo
         for i in range(0, len(texts), 64):
             words = [self.cut(t) for t in texts[i : i + 64]]
-            new = list({w for ws in words for w in ws} - memo.keys())
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list({w for ws in words for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u2").tobytes() if len(e.ids) != 1 else struct.pack("<H", e.ids[0])
-            get = memo.__getitem__
+            new = [w for w in set().union(*words) if w not in memo]
+            fresh = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            if len(memo) < MEMO:  # words that are met early are the frequent ones
+                memo.update(fresh)
+                get = memo.__getitem__
+            else:
+                get = lambda w: memo[w] if w in memo else fresh[w]
             out += [np.frombuffer(b"".join(map(get, ws)), "<u2").astype("<u4").tobytes() for ws in words]
         return out
 
@@ -143,7 +143,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         for b in batches:
-            encoder = encoder or Encoder(path)
+            encoder = encoder or kept(f"encoder {path}", lambda: Encoder(path))
             for a in range(0, b.num_rows, 64):
                 some = b.slice(a, 64)
                 for k, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
@@ -157,6 +157,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         if keys:
             yield shard()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), whole(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
     made = rows.mapInArrow(run, f"part int, seq long, before long, n_docs long, n_ids long, keys array<{kind.simpleString()}>, sizes array<long>, image binary")
     return stored(made, "token-shards")
