@@ -2,8 +2,9 @@
 
 Each message is parsed into its own words and quoted passages with their levels ('>' marks, nested).
 Normalised passages are hashed and joined to the messages whose own words they are: the first message of
-the same conversation that wrote the passage before, else the first of any conversation. What a message
-quotes first, at the outermost level, it replies to; without a quote it replies to the message before.
+the same conversation that wrote the passage before, else the first of any other conversation; passages
+of under MIN_CHARS characters link within their conversation alone. What a message quotes first, at the
+outermost level, it replies to; without a quote it replies to the message before, if there is one.
 The result is one row per message, without quotes, and every message stands after the one it replies to
 when rows are ordered by (conv_id, turn).
 
@@ -21,7 +22,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, load, stored, whole
@@ -29,7 +30,9 @@ from .common import arrow_map, load, stored, whole
 MIN_CHARS = 8
 _MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 _WROTE = re.compile(r"(?:^|\n)[^\n]{0,200}\b(?:wrote|writes|schrieb|écrit|a écrit|escribió)\s?:[ \t]*\n*\Z", re.I)
-_MESSAGE = "own string, units array<string>, quotes array<struct<level:int,hash:string,n:int>>"
+_MESSAGE = "own string, units array<string>, quotes array<struct<level:int,hash:string,n:int,short:boolean>>"
+#: Turns of a conversation that are put in order together.
+STRETCH = 1024
 
 
 def normalised(text: str) -> str:
@@ -37,9 +40,14 @@ def normalised(text: str) -> str:
 
 
 def digest(text: str) -> str | None:
-    """The hash of a passage in normal form; none for what is too short to tell."""
-    plain = normalised(text)
-    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if len(plain) >= MIN_CHARS else None
+    """The hash of a passage in normal form, or as it stands if it has no words; none for blanks."""
+    plain = normalised(text) or " ".join(text.split())
+    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if plain else None
+
+
+def is_short(text: str) -> bool:
+    """Whether a passage is too short to tell whose it is outside its conversation."""
+    return len(normalised(text)) < MIN_CHARS
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -71,9 +79,9 @@ def units(own: str) -> list[str]:
 
 
 def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
-    """`messages`, their text replaced by own, units and quotes (level, hash, order)."""
+    """`messages`, their text replaced by own, units and quotes (level, hash, order, short)."""
     names = [c for c in messages.columns if c != text]
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("n", pa.int32())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("n", pa.int32()), ("short", pa.bool_())]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         owns, unit, quotes = [], [], []
@@ -82,35 +90,49 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
             owns.append(own)
             unit.append(units(own))
             # A passage is looked for as a whole, then line by line.
-            found = [(n, d, i) for i, (n, p) in enumerate(passages) for d in dict.fromkeys([digest(p), *map(digest, p.split("\n"))]) if d]
-            quotes.append([{"level": n, "hash": d, "n": i} for n, d, i in found])
+            found = [(n, d, i, is_short(q)) for i, (n, p) in enumerate(passages) for d, q in {digest(q): q for q in [p, *p.split("\n")]}.items() if d]
+            quotes.append([{"level": n, "hash": d, "n": i, "short": short} for n, d, i, short in found])
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(owns, pa.string()), pa.array(unit, pa.list_(pa.string())), pa.array(quotes, kind)], names=[*names, "own", "units", "quotes"])
 
     schema = "".join(f"`{c}` {messages.schema[c].dataType.simpleString()}, " for c in names)
     return arrow_map(messages.select(*names, whole(text).alias("__t")), run, schema + _MESSAGE)
 
 
+def _preceded(rows: DataFrame) -> DataFrame:
+    """`rows` with `before`, the greatest lesser turn of the conversation; in stretches, so that a long one isn't one group."""
+    part = F.floor(F.col("turn") / STRETCH)
+    cut = rows.withColumn("part", part)
+    ends = cut.groupBy("conv", "part").agg(F.max("turn").alias("end"))
+    ends = ends.select(F.col("conv").alias("c"), F.col("part").alias("p"), F.lag("end").over(Window.partitionBy("conv").orderBy("part")).alias("last"))
+    lesser = F.max("turn").over(Window.partitionBy("conv", "part").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    placed = cut.withColumn("lesser", lesser).join(ends, (F.col("conv") == F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return placed.withColumn("before", F.when(F.col("conv").isNotNull(), F.coalesce("lesser", "last"))).drop("part", "lesser", "c", "p", "last")
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, turn, role, reply_conv, reply_turn, n_quotes, n_linked, text): one row per message, its quotes taken out."""
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = stored(parsed(rows), "chat-messages")
-    quotes = rows.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.n").distinct()
+    quotes = rows.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.n", "q.short").distinct()
     # Only what someone quotes is looked for.
-    wanted = quotes.select("hash").distinct()
-    written = rows.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, "hash", "left_semi")
-    first = written.groupBy("conv", "hash").agg(F.min("turn").alias("src_turn"))
-    anywhere = first.groupBy("hash").agg(F.min(F.struct("conv", "src_turn")).alias("any"))
-    near = quotes.join(first, ["conv", "hash"], "left")
+    wanted = quotes.groupBy("hash").agg(F.first("short").alias("short"))
+    written = rows.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, "hash")
+    first = written.groupBy("conv", "hash").agg(F.min("turn").alias("src_turn"), F.first("short").alias("unfit"))
+    # Of each hash the least sources of two conversations: one of them isn't the quoting one.
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("conv", "src_turn"))
+    two = first.filter("NOT unfit").withColumn("rank", rank).filter("rank <= 2")
+    anywhere = two.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("conv", "src_turn"))).alias("any"))
+    near = quotes.join(first.drop("unfit"), ["conv", "hash"], "left")
     far = near.join(anywhere, "hash", "left")
     own = F.col("src_turn") < F.col("turn")
-    other = ~F.col("any.conv").eqNullSafe(F.col("conv"))
-    source = F.when(own, F.struct(F.col("conv").alias("c"), F.col("src_turn").alias("t"))).when(other, F.struct(F.col("any.conv").alias("c"), F.col("any.src_turn").alias("t")))
-    hits = far.select("conv", "turn", "level", "n", source.alias("src")).filter("src.t IS NOT NULL")
-    replies = hits.groupBy("conv", "turn").agg(F.min_by("src", F.struct("level", "n", "src")).alias("src"), F.count_distinct("n").alias("n_linked"))
+    other = F.get(F.filter("any", lambda s: ~s["conv"].eqNullSafe(F.col("conv"))), F.lit(0))
+    source = F.when(own, F.struct(F.col("conv").alias("c"), F.col("src_turn").alias("t"))).when(other.isNotNull(), F.struct(other["conv"].alias("c"), other["src_turn"].alias("t")))
+    hits = far.select("conv", "turn", "level", "n", "short", source.alias("src")).filter("src.t IS NOT NULL")
+    replies = hits.groupBy("conv", "turn").agg(F.min_by("src", F.struct("level", "n", "short", "src")).alias("src"), F.count_distinct("n").alias("n_linked"))
     n_quotes = F.size(F.array_distinct(F.transform("quotes", lambda q: q["n"])))
-    turns = rows.select("conv", "turn", "role", n_quotes.alias("n_quotes"), F.col("own").alias("text"))
+    turns = _preceded(rows).select("conv", "turn", "role", "before", n_quotes.alias("n_quotes"), F.col("own").alias("text"))
     out = turns.alias("m").join(replies.alias("r"), F.col("m.conv").eqNullSafe(F.col("r.conv")) & F.col("m.turn").eqNullSafe(F.col("r.turn")), "left")
-    before = F.when(F.col("m.turn") > 0, F.col("m.turn") - 1)
+    before = F.col("m.before")
     return out.select(
         F.col("m.conv").alias(conv),
         F.col("m.turn").alias(turn),

@@ -385,3 +385,18 @@ def test_chat(spark, sf):
     assert op10.linked(df.limit(0)).count() == 0
     real = spark.read.parquet(f"{sf}/conversations.parquet")
     assert op10.linked(real).count() == real.count()
+
+
+def test_chat_lost_links(spark):
+    rows = [
+        (1, 0, "user", "> The same passage stands here twice\nIs it so?"), (1, 3, "user", "The same passage stands here twice"),
+        (5, 0, "user", "The same passage stands here twice"),
+        (6, 0, "user", "Why?"), (6, 1, "user", "Because of that."), (6, 7, "user", "> Why?\nYou know it."), (6, 2000, "user", "> ???\nAll is said."), (6, 2001, "user", "So it is."),
+        (7, 0, "user", "> Why?\nNobody asked here."), (None, 4, "user", "Words without a place"), (None, 5, "user", "More words without a place"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["n_quotes"], r["n_linked"]) for r in op10.linked(df).collect()}
+    assert len(got) == len(rows)
+    assert got[1, 0] == (5, 0, 1, 1) and got[1, 3] == (1, 0, 0, 0)
+    assert got[6, 7] == (6, 0, 1, 1) and got[6, 2000] == (6, 7, 1, 0) and got[6, 2001] == (6, 2000, 0, 0)
+    assert got[7, 0] == (None, None, 1, 0) and got[None, 5] == (None, None, 0, 0)
