@@ -103,11 +103,17 @@ def _stage(docs: DataFrame, text: Column, kinds: tuple[str, ...]) -> DataFrame:
     return df.withColumns(cols)
 
 
+def _beside(s: Column) -> Column:
+    """The CONTEXT characters of the whole text before a span and those after it."""
+    text, start = F.col("__text"), F.greatest(s["start"] - CONTEXT, F.lit(0))
+    return F.lower(F.concat_ws(" ", F.substring(text, start + 1, s["start"] - start), F.substring(text, s["end"] + 1, F.lit(CONTEXT))))
+
+
 def _scored(kind: str) -> Column:
     found = F.filter(places(F.col(f"__gaps_{kind}"), F.col(f"__hits_{kind}")), lambda s: confirmed(kind, s["hit"]))
 
     def score(s: Column) -> Column:
-        near = F.lower(F.concat_ws(" ", s["pre"], s["post"])).rlike(CONTEXT_WORDS[kind])
+        near = _beside(s).rlike(CONTEXT_WORDS[kind])
         return F.struct(
             F.lit(kind).alias("kind"),
             s["start"].alias("start"),
@@ -119,6 +125,13 @@ def _scored(kind: str) -> Column:
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
 
+def _spans(docs: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
+    """`docs` with __text and pii_spans, the confirmed spans of `kinds`."""
+    df = _stage(docs, whole(text), kinds)
+    df = df.withColumns({f"__spans_{k}": _scored(k) for k in kinds})
+    return df.withColumn("pii_spans", F.concat(*[F.col(f"__spans_{k}") for k in kinds]).cast(SPANS))
+
+
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `pii_spans`, array<struct<kind, start, end, score>>: by kind as in KINDS, then by start.
 
@@ -126,33 +139,34 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     if "pii_spans" in docs.columns:
         raise ValueError("the input already has a column pii_spans")
-    df = _stage(docs, whole(text), KINDS)
-    df = df.withColumns({f"__spans_{k}": _scored(k) for k in KINDS})
-    df = df.withColumn("pii_spans", F.concat(*[F.col(f"__spans_{k}") for k in KINDS]).cast(SPANS))
-    return df.select(*docs.columns, "pii_spans")
+    return _spans(docs, text, KINDS).select(*docs.columns, "pii_spans")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with every confirmed span of the text replaced by its kind in brackets, kind after kind."""
+    """`docs` with every span that `annotate` confirms replaced by its kind in brackets.
+
+    Spans that overlap become one, named after the first. What only shows once its neighbours are
+    replaced (digits that ran into an account number) is replaced kind after kind.
+    """
     df = docs
-    for k in ("email", "iban", "card", "phone", "ssn", "ip"):
-        df = _stage(df.withColumn(text, whole(text)), F.col(text), (k,))
-        pieces = F.zip_with(f"__gaps_{k}", f"__hits_{k}", _masked(k))
-        df = df.withColumn(text, F.when(F.size(f"__hits_{k}") == 0, F.col(text)).otherwise(F.array_join(pieces, "")))
-        df = df.select(*docs.columns)
+    for kinds in (KINDS, *[(k,) for k in ("email", "iban", "card", "phone", "ssn", "ip")]):
+        df = _spans(df, text, kinds).withColumn(text, _masked(F.col("__text"))).select(*docs.columns)
     return df
 
 
-def _masked(kind: str):
-    """What stands in the place of a gap and the match after it."""
+def _masked(text: Column) -> Column:
+    """The text with its pii_spans replaced."""
+    order = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def piece(gap: Column, hit: Column) -> Column:
-        stands = confirmed(kind, hit)
-        if kind not in BASE and PRIOR[kind] < THRESHOLD:
-            stands = stands & F.lower(F.right(gap, F.lit(CONTEXT))).rlike(CONTEXT_WORDS[kind])
-        return F.concat(gap, F.when(hit.isNull(), F.lit("")).when(stands, F.lit(f"[{kind.upper()}]")).otherwise(hit))
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        piece = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.struct(F.concat(acc["out"], piece).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    return piece
+    return F.when(F.size("pii_spans") == 0, text).otherwise(
+        F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

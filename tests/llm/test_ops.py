@@ -85,6 +85,15 @@ def test_pii(spark, docs, rows):
     assert clean[5] == "same text here with words" and clean[1] == "" and "[IBAN]" in clean[9] and "[SSN]" in clean[9]
 
 
+def test_pii_context(spark):
+    texts = ["123-45-6789 is the SSN of a", "SSN: 123-45-6789, 234-56-7890", "ssn@x.org 123-45-6789", "no word " * 9 + "123-45-6789", "ssn +49 123-45-6789 é", "4111 1111 1111 1111 1.2.3.4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r[0]: [s["kind"] for s in r["pii_spans"]] for r in op2.annotate(docs).collect()}
+    assert found == {0: ["ssn"], 1: ["ssn", "ssn"], 2: ["email", "ssn"], 3: [], 4: ["phone", "ssn"], 5: ["ip"]}
+    clean = {r[0]: r[1] for r in op2.redact(docs).collect()}
+    assert clean == {0: "[SSN] is the SSN of a", 1: "SSN: [SSN], [SSN]", 2: "[EMAIL] [SSN]", 3: texts[3], 4: "ssn [PHONE] é", 5: "[CARD] [IP]"}
+
+
 def base_secrets(t):
     out = []
     for i, (k, p) in enumerate((("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"))):
