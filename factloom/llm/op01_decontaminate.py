@@ -1,12 +1,16 @@
 """Benchmark decontamination by an embedded random walk and bit sampling.
 
-A window's words are numbers. The CGK walk reads the number at its place, writes it, and moves on by a
-random bit that depends on the step and the number; sequences at a small edit distance write strings at
-a small Hamming distance. Sampling a fixed set of written places gives a key that windows with few
-edits are likely to share, and REPEATS walks with fresh random bits raise the recall. Of an item's windows those count whose sampled
-words carry MIN_BITS bits, so that phrases anyone may write don't flood the verification. Windows start at
-every word of every document. The items' own windows start at each of their words too, so that a match
-tells where in the document an item-sized window lies; one untouched stretch of an item is enough.
+A window is what follows the start of a word, in bytes. The CGK walk reads the byte at its place, writes it,
+and moves on by a random bit that depends on the step and the byte; sequences at a small edit distance write
+strings at a small Hamming distance. Sampling a fixed set of written places gives a key that windows with few
+edits share, and REPEATS walks with fresh random bits raise the recall. Every window of every item is indexed
+and every word of every document starts one. Windows aren't as long as items: at a similarity of SIMILARITY
+an item-sized walk meets so many edits that no key survives; of many short windows some lie between the edits.
+How far a walk goes and how many places it samples comes from TARGET, the recall to reach when a fifth of
+an item's characters are edited at random: the shorter the item, the shorter the window (RUNGS). Nothing depends
+on the other items. Hits are grouped to one list of places a document and item.
+Stretches that share too few GRAM-grams with an item to lie within its distance (no such stretch is lost by that)
+are left out.
 The window is then verified exactly: the least edit distance of the whole item, in characters, to any
 part of it (bit-parallel), and it counts as leaked from a similarity of SIMILARITY on.
 
@@ -15,7 +19,7 @@ number, so no broadcast grows with them. Texts compare lower-cased, with white s
 
 Edge cases: null or empty texts and items never match, nor do items of under MIN_WORDS words, which
 no edit distance tells from chance; repeated items report each id; repeated documents report each row;
-empty tables give empty results. Long texts are walked in slices that overlap by a walk's reach.
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,16 +36,17 @@ from .common import kept, load, small_batches, union_all, whole
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-REPEATS = 3
+TARGET = 0.99
+REPEATS = 8
 BLOCK_CHARS = 4_000_000
-#: The length that a walk writes (no longer than the shortest item) and how many of its places are sampled.
-WRITTEN, SAMPLED = 5, 3
-#: An item's window is looked for if its sampled words carry this much information, by the items' own word counts.
-MIN_BITS = 20.0
+#: (bytes of an item from which a rung serves, length that a walk writes, how many of the places since the rung before
+#: are sampled). Measured with REPEATS walks for TARGET at SIMILARITY; the longest that reaches it.
+RUNGS = ((0, 8, 6), (60, 24, 6), (150, 28, 2), (230, 32, 4))
+GRAM = 3
 SLICE = 1 << 15
 GROUP = 1 << 20
-#: Stands between lines that are walked together: more words than a walk reads.
-BETWEEN = b" " + b"\x00 " * (WRITTEN + 2)
+#: Stands between lines that are walked together: longer than a walk reads.
+BETWEEN = b" " + b"\x00" * (RUNGS[-1][1] + 8) + b" "
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -50,86 +55,76 @@ def normal(text: str) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
 
 
-def word_numbers(line: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(where each word starts, its 64-bit number) of a normal line: a polynomial of its bytes, stirred."""
-    raw = np.frombuffer(line, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    gap = raw == 32
-    starts = np.concatenate(([0], np.flatnonzero(gap) + 1))
-    ends = np.concatenate((starts[1:] - 1, [len(raw)]))
-    place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, np.diff(np.concatenate((starts, [len(raw)]))))
-    terms = _BYTES[raw] * _POWERS[np.minimum(place, len(_POWERS) - 1)]
-    terms[gap] = 0
-    h = np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return starts, h
+def word_starts(line: bytes) -> np.ndarray:
+    """Where each word of a normal line starts."""
+    if not line:
+        return np.zeros(0, np.int64)
+    return np.concatenate(([0], np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1))
 
 
-_rng = np.random.default_rng(20240607)
-_BYTES = _rng.integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_POWERS = _rng.integers(1, 1 << 62, 4096, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_MIX = np.random.default_rng(20240607).integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-def walks() -> list[tuple[int, np.ndarray, list[int]]]:
-    """Of each repetition: the written length, the number's bit that moves step j, the sampled places."""
+def walks() -> list[tuple[np.ndarray, set[int]]]:
+    """Of each repetition: the move of every step and byte, the sampled places."""
     rng, out = np.random.default_rng(7), []
     for _ in range(REPEATS):
-        out.append((WRITTEN, rng.permutation(40)[:WRITTEN].astype(np.uint64) + np.uint64(8), sorted(rng.choice(WRITTEN, SAMPLED, replace=False).tolist())))
+        moves, sampled, begun = rng.integers(0, 2, (RUNGS[-1][1], 256)).astype(np.int64), set(), 0
+        for _, end, n in RUNGS:
+            sampled |= set((begun + rng.choice(end - begun, n, replace=False)).tolist())
+            begun = end
+        out.append((moves, sampled))
     return out
 
 
 WALKS = walks()
 
 
-def keys(h: np.ndarray, walk: tuple[int, np.ndarray, list[int]]) -> np.ndarray:
-    """The sampled key of the walk from each word on; walks past the end read zeros."""
-    n, bits, sampled = walk
-    padded = np.concatenate((h, np.zeros(n + 1, np.uint64)))
-    out = np.empty(len(h), np.uint64)
-    for a in range(0, len(h), SLICE):
-        at = np.arange(a, min(a + SLICE, len(h)))
+def rung_of(size: int) -> int:
+    """The rung that serves an item of `size` bytes."""
+    return max(i for i, r in enumerate(RUNGS) if r[0] <= size)
+
+
+def keys(line: bytes, starts: np.ndarray, walk: tuple[np.ndarray, set[int]], wanted: set[int]) -> dict[int, np.ndarray]:
+    """Of each wanted rung, the sampled key of the walk from each start on; walks past the end read zeros."""
+    moves, sampled = walk
+    ends = {RUNGS[i][1] - 1: i for i in wanted}
+    padded = np.concatenate((np.frombuffer(line, np.uint8), np.zeros(RUNGS[-1][1] + 1, np.uint8)))
+    out = {i: np.empty(len(starts), np.uint64) for i in wanted}
+    for a in range(0, len(starts), SLICE):
+        at = starts[a : a + SLICE]
         key = np.zeros(len(at), np.uint64)
-        for j in range(n):
+        for j in range(max(ends, default=-1) + 1):
             x = padded[at]
             if j in sampled:
-                key = (key ^ x) * np.uint64(0xC2B2AE3D27D4EB4F)
+                key = (key ^ _MIX[x]) * np.uint64(0xC2B2AE3D27D4EB4F)
                 key ^= key >> np.uint64(32)
-            if j + 1 < n:
-                at = at + ((x >> bits[j]) & np.uint64(1)).astype(np.int64)
-        out[a : a + len(key)] = key
+            if j in ends:
+                out[ends[j]][a : a + len(key)] = key
+            at = at + moves[j][x]
     return out
 
 
-def information(h: np.ndarray, walk: tuple[int, np.ndarray, list[int]], bits_of: dict[int, float]) -> np.ndarray:
-    """How many bits the different words carry that the walk from each word on samples."""
-    n, moves, sampled = walk
-    known, out = h.tolist(), np.zeros(len(h))
-    for i in range(len(known)):
-        at, seen = i, set()
-        for j in range(n):
-            if at >= len(known):
-                break
-            if j in sampled:
-                seen.add(known[at])
-            at += known[at] >> int(moves[j]) & 1
-        out[i] = sum(bits_of[x] for x in seen)
-    return out
+def grams(chars: str) -> np.ndarray:
+    """A 16-bit number of every GRAM characters in a row."""
+    c = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = max(0, len(c) - GRAM + 1)
+    h = np.zeros(n, np.uint32)
+    for j in range(GRAM):
+        h = (h ^ c[j : j + n]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h >> np.uint32(16)
 
 
 class Items:
     """A block of items, ready to be searched for: the keys of all their windows, sorted."""
 
     def __init__(self, rows: list[tuple], similarity: float = SIMILARITY) -> None:
-        self.ids, self.lines, self.budget, self.masks, self.starts = [], [], [], [], []
-        parts: list[list[np.ndarray]] = [[] for _ in WALKS]
-        lined = [(ident, line, *word_numbers(line)) for ident, line in ((i, normal(t or "")) for i, t in rows)]
-        values, counts = np.unique(np.concatenate([x[3] for x in lined] or [np.zeros(0, np.uint64)]), return_counts=True)
-        bits_of = dict(zip(values.tolist(), np.log2(max(1, counts.sum()) / counts).tolist()))
-        for ident, line, starts, h in lined:
-            if len(h) < MIN_WORDS:
+        self.ids, self.lines, self.budget, self.masks, self.grams = [], [], [], [], []
+        parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for ident, line in ((i, normal(t or "")) for i, t in rows):
+            starts = word_starts(line)
+            if len(starts) < MIN_WORDS:
                 continue
             chars = line.decode("utf-8", "surrogatepass")
             k = len(self.ids)
@@ -140,22 +135,21 @@ class Items:
             for i, c in enumerate(chars):
                 masks[c] = masks.get(c, 0) | 1 << i
             self.masks.append(masks)
-            self.starts.append(starts)
+            self.grams.append(np.unique(grams(chars)))
+            rung = rung_of(len(line))
+            starts = starts[starts + RUNGS[rung][1] <= len(line)]
             for r, walk in enumerate(WALKS):
-                own = keys(h, walk)
-                bits = information(h, walk, bits_of)
-                inside = np.arange(len(h)) + walk[0] <= len(h)
-                inside[0] = True
-                telling = inside & (bits >= min(MIN_BITS, bits[inside].max()))
-                word = np.flatnonzero(telling)
-                parts[r].append(np.stack([own[word], np.full(len(word), k, np.uint64), word.astype(np.uint64)]))
-        self.tables = []
-        for part in parts:
-            t = np.concatenate(part, axis=1) if part else np.zeros((3, 0), np.uint64)
+                own = keys(line, starts, walk, {rung})[rung]
+                parts.setdefault((r, rung), []).append(np.stack([own, np.full(len(own), k, np.uint64), starts.astype(np.uint64)]))
+        self.rungs = {rung for _, rung in parts}
+        self.tables = {}
+        for which, part in parts.items():
+            t = np.concatenate(part, axis=1)
             t = t[:, np.argsort(t[0], kind="stable")]
             seen = np.zeros(1 << 20, bool)
             seen[(t[0] >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((seen, t[0], t[1].astype(np.int64), t[2].astype(np.int64)))
+            self.tables[which] = (seen, t[0], t[1].astype(np.int64), t[2].astype(np.int64))
+        self.have = np.zeros(1 << 16, bool)
 
     def search(self, text: str) -> list[tuple]:
         return self.search_all([text])[0]
@@ -175,24 +169,42 @@ class Items:
         return out
 
     def _search(self, lines: list[bytes]) -> list[list[tuple]]:
-        """The lines are walked as one, with words between them that no item has."""
-        spots: list[dict[int, set[int]]] = [{} for _ in lines]
-        starts, h = word_numbers(BETWEEN.join(lines))
+        """The lines are walked as one, with a word between them that no item has."""
+        out: list[list[tuple]] = [[] for _ in lines]
+        joined = BETWEEN.join(lines)
+        starts = word_starts(joined)
         first = np.cumsum([0] + [len(x) + len(BETWEEN) for x in lines[:-1]])
-        for walk, (seen, known, item, word) in zip(WALKS, self.tables):
-            if not len(known):
-                continue
-            got = keys(h, walk)
-            at = np.flatnonzero(seen[(got >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(known, got[at], "left"), np.searchsorted(known, got[at], "right")
-            hit = hi > lo
-            at, lo, hi = at[hit], lo[hit], hi[hit]
-            doc = np.searchsorted(first, starts[at], "right") - 1
-            for p, a, b, d in zip((starts[at] - first[doc]).tolist(), lo.tolist(), hi.tolist(), doc.tolist()):
-                for q in range(a, b):
-                    # The window starts where the item would, counted in bytes.
-                    spots[d].setdefault(int(item[q]), set()).add(p - int(self.starts[item[q]][word[q]]))
-        return [[(self.ids[k], *best) for k, places in spot.items() if (best := self.verify(k, line, places))] for line, spot in zip(lines, spots)]
+        pairs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, walk in enumerate(WALKS if len(starts) else []):
+            for rung, got in keys(joined, starts, walk, self.rungs).items():
+                seen, known, item, word = self.tables[r, rung]
+                at = np.flatnonzero(seen[(got >> np.uint64(44)).astype(np.int64)])
+                lo, n = np.searchsorted(known, got[at], "left"), np.searchsorted(known, got[at], "right")
+                n -= lo
+                q = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                p = np.repeat(starts[at], n)
+                doc = np.searchsorted(first, p, "right") - 1
+                pairs.append(doc * len(self.ids) + item[q])
+                # The window starts where the item would, counted in bytes.
+                places.append(p - first[doc] - word[q])
+        pair, place = np.concatenate(pairs), np.concatenate(places)
+        order = np.lexsort((place, pair))
+        pair, place = pair[order], place[order]
+        begun = np.flatnonzero(np.diff(pair, prepend=-1))
+        for a, b in zip(begun.tolist(), [*begun[1:].tolist(), len(pair)]):
+            d, k = divmod(int(pair[a]), len(self.ids))
+            if best := self.verify(k, lines[d], set(place[a:b].tolist())):
+                out[d].append((self.ids[k], *best))
+        return out
+
+    def plausible(self, k: int, found: np.ndarray) -> bool:
+        """Whether a part of a text (its grams) can hold the item within its budget: each edit spoils GRAM grams at most."""
+        m, budget = len(self.lines[k]), self.budget[k]
+        need, wide = m - GRAM + 1 - GRAM * budget, m + budget
+        self.have[self.grams[k]] = True
+        shared = np.concatenate(([0], np.cumsum(self.have[found])))
+        self.have[self.grams[k]] = False
+        return need <= (shared[-1] if len(found) <= wide else (shared[wide:] - shared[:-wide]).max())
 
     def verify(self, k: int, line: bytes, places: set[int]) -> tuple | None:
         """Places that lie near one another are verified as one stretch of the line."""
@@ -211,6 +223,8 @@ class Items:
             while b < len(line) and line[b] & 0xC0 == 0x80:
                 b += 1
             part = line[a:b].decode("utf-8", "surrogatepass")
+            if not self.plausible(k, grams(part)):
+                continue
             d, end = distance_within(self.masks[k], len(item), part)
             if d <= budget and (best is None or d < best[0]):
                 before = len(line[:a].decode("utf-8", "surrogatepass"))

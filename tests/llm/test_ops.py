@@ -252,6 +252,26 @@ def test_decontaminate(spark, sf):
         assert op1.distance_within(masks, 10, text)[0] == slow_distance("kitten sat", text)
 
 
+@pytest.mark.parametrize("lone", [False, True])
+def test_decontaminate_recall(lone):
+    """Items with just under a fifth of their characters edited are found, whatever other items there are."""
+    import pyarrow.parquet as pq
+
+    bench = [(i, t) for i, t in enumerate(pq.read_table("/root/testdata/sf0.001/benchmark.parquet").column("text").to_pylist())]
+    rng, found, n = np.random.default_rng(11), 0, 0
+    every = op1.Items(bench)
+    for i, t in bench:
+        items = op1.Items([(i, t)]) if lone else every
+        for _ in range(5):
+            c = list(op1.normal(t).decode())
+            for p in sorted(rng.choice(len(c), int(0.2 * len(c)), replace=False).tolist(), reverse=True):
+                kind, x = rng.integers(0, 3), "0123456789"[rng.integers(0, 10)]
+                c[p : p + 1] = [x] if kind == 0 else [] if kind == 1 else [x, c[p]]
+            found += any(x[0] == i for x in items.search("before it " + "".join(c) + " and after"))
+            n += 1
+    assert found >= 0.97 * n
+
+
 def test_html(spark, sf):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var a="</p><p>no";</script></head><body>
     <header><div class="logo">Site</div></header><nav><ul><li><a href=/a>One</a></li></ul></nav>
