@@ -43,6 +43,8 @@ BLOCK_CHARS = 4_000_000
 #: are sampled). Measured with REPEATS walks for TARGET at SIMILARITY; the longest that reaches it.
 RUNGS = ((0, 8, 6), (60, 24, 6), (150, 28, 2), (230, 32, 4))
 GRAM = 3
+#: Characters of a piece of an item, at most; stretches up to LONG characters are tried piece by piece, MANY at a time.
+PIECE, LONG, MANY = 60, 2048, 4096
 SLICE = 1 << 15
 GROUP = 1 << 20
 #: Stands between lines that are walked together: longer than a walk reads.
@@ -150,6 +152,15 @@ class Items:
             seen[(t[0] >> np.uint64(44)).astype(np.int64)] = True
             self.tables[which] = (seen, t[0], t[1].astype(np.int64), t[2].astype(np.int64))
         self.have = np.zeros(1 << 16, bool)
+        self.pieces, self.first_piece = [], [0]
+        for line in self.lines:
+            n = -(-len(line) // PIECE)
+            self.pieces += [line[len(line) * i // n : len(line) * (i + 1) // n] for i in range(n)]
+            self.first_piece.append(len(self.pieces))
+        self.table = np.zeros((len(self.pieces), 256), np.uint64)
+        for i, piece in enumerate(self.pieces):
+            for j, c in enumerate(piece):
+                self.table[i, ord(c) & 255] |= np.uint64(1 << j)
 
     def search(self, text: str) -> list[tuple]:
         return self.search_all([text])[0]
@@ -191,10 +202,57 @@ class Items:
         order = np.lexsort((place, pair))
         pair, place = pair[order], place[order]
         begun = np.flatnonzero(np.diff(pair, prepend=-1))
+        tried = []
         for a, b in zip(begun.tolist(), [*begun[1:].tolist(), len(pair)]):
             d, k = divmod(int(pair[a]), len(self.ids))
-            if best := self.verify(k, lines[d], set(place[a:b].tolist())):
-                out[d].append((self.ids[k], *best))
+            tried += [(d, k, *x) for x in self.stretches(k, lines[d], place[a:b].tolist())]
+        best: dict[tuple[int, int], tuple] = {}
+        for (d, k, a, part), near in zip(tried, self.near(tried).tolist()):
+            if near and (x := self.verify(k, lines[d], a, part)) and ((d, k) not in best or x[0] < best[d, k][0]):
+                best[d, k] = x
+        for (d, k), x in best.items():
+            out[d].append((self.ids[k], *x))
+        return out
+
+    def near(self, tried: list[tuple]) -> np.ndarray:
+        """Of each (document, item, place, part), whether some piece of the item has at most its share of the edits in the part.
+
+        Of an item's n pieces one has a n-th of the edits at most, so nothing is lost. Characters count by their
+        last 8 bits, which only adds matches. Bit-parallel, many pieces at once.
+        """
+        out = np.array([len(part) > LONG for _, _, _, part in tried], bool)
+        order = sorted(np.flatnonzero(~out).tolist(), key=lambda i: len(tried[i][3]))
+        one = np.uint64(1)
+        for a in range(0, len(order), MANY):
+            some = order[a : a + MANY]
+            sizes = np.array([len(tried[i][3]) for i in some])
+            text = np.zeros((sizes.max(), len(some)), np.uint8)
+            for c, i in enumerate(some):
+                text[: sizes[c], c] = np.frombuffer(tried[i][3].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint8)
+            of = np.array([tried[i][1] for i in some])
+            n = np.array(self.first_piece)[of + 1] - np.array(self.first_piece)[of]
+            col = np.repeat(np.arange(len(some)), n)
+            piece = np.array([p for k in of.tolist() for p in range(self.first_piece[k], self.first_piece[k + 1])])
+            length = np.array([len(self.pieces[p]) for p in piece.tolist()])
+            full = (one << length.astype(np.uint64)) - one
+            top = (length - 1).astype(np.uint64)
+            pv, mv, score, least = full.copy(), np.zeros(len(piece), np.uint64), length.copy(), length.copy()
+            base, flat = piece * 256, self.table.ravel()
+            for t in range(len(text)):
+                eq = flat[base + text[t][col]]
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph = mv | (full & ~(xh | pv))
+                mh = pv & xh
+                score = score + ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+                ph = (ph << one) & full
+                mh = (mh << one) & full
+                pv = mh | (full & ~(xv | ph))
+                mv = ph & xv
+                np.minimum(least, score, out=least)
+            # Past the end of a shorter part zeros are read: that can only add to what is verified.
+            share = (np.array(self.budget)[of] // n)[col]
+            out[np.array(some)[col[least <= share]]] = True
         return out
 
     def plausible(self, k: int, found: np.ndarray) -> bool:
@@ -206,32 +264,36 @@ class Items:
         self.have[self.grams[k]] = False
         return need <= (shared[-1] if len(found) <= wide else (shared[wide:] - shared[:-wide]).max())
 
-    def verify(self, k: int, line: bytes, places: set[int]) -> tuple | None:
-        """Places that lie near one another are verified as one stretch of the line."""
-        item, budget, best = self.lines[k], self.budget[k], None
-        slack, wide = 2 * budget + 8, len(item.encode("utf-8", "surrogatepass"))
-        stretches: list[list[int]] = []
-        for place in sorted(places):
-            if stretches and place - stretches[-1][1] <= wide + slack:
-                stretches[-1][1] = place
+    def stretches(self, k: int, line: bytes, places: list[int]) -> list[tuple[int, str]]:
+        """(where it begins in bytes, the part of the line) of each stretch; places that lie near one another are one."""
+        slack, wide = 2 * self.budget[k] + 8, len(self.lines[k].encode("utf-8", "surrogatepass"))
+        found: list[list[int]] = []
+        for place in places:
+            if found and place - found[-1][1] <= wide + slack:
+                found[-1][1] = place
             else:
-                stretches.append([place, place])
-        for first, last in stretches:
+                found.append([place, place])
+        out = []
+        for first, last in found:
             a, b = max(0, first - slack), min(len(line), last + wide + slack)
             while a > 0 and line[a] & 0xC0 == 0x80:
                 a -= 1
             while b < len(line) and line[b] & 0xC0 == 0x80:
                 b += 1
-            part = line[a:b].decode("utf-8", "surrogatepass")
-            if not self.plausible(k, grams(part)):
-                continue
-            d, end = distance_within(self.masks[k], len(item), part)
-            if d <= budget and (best is None or d < best[0]):
-                before = len(line[:a].decode("utf-8", "surrogatepass"))
-                best = (d, round(1 - d / len(item), 6), max(0, before + end - len(item)), before + end)
-                if d == 0:
-                    break
-        return best
+            if a < b:
+                out.append((a, line[a:b].decode("utf-8", "surrogatepass")))
+        return out
+
+    def verify(self, k: int, line: bytes, a: int, part: str) -> tuple | None:
+        """The best place of the item in a part of the line that begins at `a`."""
+        item, budget = self.lines[k], self.budget[k]
+        if not self.plausible(k, grams(part)):
+            return None
+        d, end = distance_within(self.masks[k], len(item), part)
+        if d > budget:
+            return None
+        before = len(line[:a].decode("utf-8", "surrogatepass"))
+        return d, round(1 - d / len(item), 6), max(0, before + end - len(item)), before + end
 
 
 def distance_within(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
