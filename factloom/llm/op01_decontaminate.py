@@ -40,7 +40,7 @@ TARGET = 0.99
 REPEATS = 8
 BLOCK_CHARS = 4_000_000
 #: (bytes of an item from which a rung serves, length that a walk writes, how many of the places since the rung before
-#: are sampled). Measured with REPEATS walks for TARGET at SIMILARITY; the longest that reaches it.
+#: are sampled). Chosen by trial for TARGET at SIMILARITY; measured recall 0.98, the first rung not measured.
 RUNGS = ((0, 8, 6), (60, 24, 6), (150, 28, 2), (230, 32, 4))
 GRAM = 3
 #: Characters of a piece of an item, at most; stretches up to LONG characters are tried piece by piece, MANY at a time.
