@@ -324,7 +324,12 @@ def test_tokens(spark, docs, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    rng = np.random.default_rng(4)
+    odd = ["a<|endoftext|>b", "a <|endoftext|> b", "x  <|endoftext|>", "<|endoftext|>", " lead", "end ", "a   b", "a \n b.\nC", "it's  we'll", "x\u3000 \u2028 y \u088f\ua7ce\U00010940 z", "é.È,ß;ÿ×÷."]
+    odd += ["".join(rng.choice([*"ab  \n\t.,'é1|\xa0", " the", "'s", "<|endoftext|>"], rng.integers(1, 12))) for _ in range(300)]
+    extra = [(2000 + i, x) for i, x in enumerate(odd)]
+    docs, rows = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string")), rows + extra
     got = sorted(op7.read(op7.write(docs, path)).collect(), key=lambda r: r["start"])
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
