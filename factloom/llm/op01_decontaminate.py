@@ -1,30 +1,32 @@
 """Benchmark decontamination by an embedded random walk and bit sampling.
 
-A window is what follows the start of a word, in bytes. The CGK walk reads the byte at its place, writes it,
-and moves on by a random bit that depends on the step and the byte; sequences at a small edit distance write
-strings at a small Hamming distance. Sampling a fixed set of written places gives a key that windows with few
-edits share, and REPEATS walks with fresh random bits raise the recall. Every window of every item is indexed
-and every word of every document starts one. Windows aren't as long as items: at a similarity of SIMILARITY
-an item-sized walk meets so many edits that no key survives; of many short windows some lie between the edits.
-How far a walk goes and how many places it samples comes from TARGET, the recall to reach when a fifth of
-an item's characters are edited at random: the shorter the item, the shorter the window (RUNGS). Nothing depends
-on the other items. Hits are grouped to one list of places a document and item.
-Stretches that share too few GRAM-grams with an item to lie within its distance (no such stretch is lost by that)
-are left out.
-The window is then verified exactly: the least edit distance of the whole item, in characters, to any
-part of it (bit-parallel), and it counts as leaked from a similarity of SIMILARITY on.
-
-Items are a stated query set: they go out in blocks of at most BLOCK_CHARS characters, whatever their
-number, so no broadcast grows with them. Texts compare lower-cased, with white space as single spaces.
-
-Edge cases: null or empty texts and items never match, nor do items of under MIN_WORDS words, which
-no edit distance tells from chance; repeated items report each id; repeated documents report each row;
-empty tables give empty results.
+A document is read in windows as long as the item. Such a window is embedded stretch by stretch: from each
+word on (and each character of scripts that leave no space), a CGK walk reads the byte at its place, writes it, and
+moves on by a random bit that depends on the step and the byte, so that strings at a small edit distance write
+strings at a small Hamming distance. To begin anew at each word keeps an edit from spoiling what follows.
+A fixed set of written places is sampled for a key, in REPEATS walks with random bits of their own. Every
+stretch of every item is indexed and every stretch of every document is looked up; a shared key proposes the
+item-sized window that would put the two stretches in the same place. How far a walk goes and how many places
+it samples depends on the item's length alone (RUNGS), for a recall of TARGET when a fifth of the characters
+are edited at random. Nothing depends on the other items.
+
+Two steps verify a window. It must hold enough of the item's GRAM-grams: a smaller share than nearly every window has
+whose item kept SIMILARITY of its characters (`share_needed`). Then the least edit distance of the whole item, in
+characters, to any part of it is computed exactly (bit-parallel); it counts as leaked from SIMILARITY on.
+
+Items of under EXACT bytes, of which no edit can be told from chance, are found where they stand word for word.
+Items are a stated query set: they go out in blocks of at most BLOCK_CHARS characters, one block at a time, so that
+neither the driver nor a broadcast holds more, whatever their number. Texts compare lower-cased, with white space
+as single spaces.
+
+Edge cases: null, empty or blank texts and items never match; repeated items report each id; repeated documents
+report each row; empty tables give empty results; other columns pass through `without_leaks` unchanged.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +34,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import kept, load, small_batches, union_all, whole
+from .common import kept, load, small_batches, stored, union_all, whole
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
-TARGET = 0.99
-REPEATS = 8
-BLOCK_CHARS = 4_000_000
-#: (bytes of an item from which a rung serves, length that a walk writes, how many of the places since the rung before
-#: are sampled). Chosen by trial for TARGET at SIMILARITY; measured recall 0.98, the first rung not measured.
-RUNGS = ((0, 8, 6), (60, 24, 6), (150, 28, 2), (230, 32, 4))
-GRAM = 3
-#: Characters of a piece of an item, at most; stretches up to LONG characters are tried piece by piece, MANY at a time.
-PIECE, LONG, MANY = 60, 2048, 4096
+TARGET = 0.97
+REPEATS = 4
+BLOCK_CHARS = 2_000_000
+#: Bytes under which an item is found word for word only.
+EXACT = 24
+#: (bytes of an item from which a rung serves, steps of its walk, how many of the steps since the rung before are
+#: sampled). Chosen by trial for TARGET; tests/llm/recall.py measures what they reach.
+RUNGS = ((0, 12, 10), (60, 20, 4), (114, 24, 2), (200, 28, 2))
+GRAM, GRAM_BITS = 5, 13
+#: Places of a window that lie this near are tried once.
+NEAR = 16
 SLICE = 1 << 15
 GROUP = 1 << 20
+LOOKUPS = 1 << 22
 #: Stands between lines that are walked together: longer than a walk reads.
 BETWEEN = b" " + b"\x00" * (RUNGS[-1][1] + 8) + b" "
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def normal(text: str) -> bytes:
@@ -58,13 +60,17 @@ def normal(text: str) -> bytes:
 
 
 def word_starts(line: bytes) -> np.ndarray:
-    """Where each word of a normal line starts."""
+    """Where stretches of a normal line start: at each word and each character of three bytes or more."""
     if not line:
         return np.zeros(0, np.int64)
-    return np.concatenate(([0], np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1))
+    b = np.frombuffer(line, np.uint8)
+    begins = b >= 0xE2
+    begins[1:] |= b[:-1] == 32
+    begins[0] = True
+    return np.flatnonzero(begins)
 
 
-_MIX = np.random.default_rng(20240607).integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def walks() -> list[tuple[np.ndarray, set[int]]]:
@@ -94,52 +100,72 @@ def keys(line: bytes, starts: np.ndarray, walk: tuple[np.ndarray, set[int]], wan
     padded = np.concatenate((np.frombuffer(line, np.uint8), np.zeros(RUNGS[-1][1] + 1, np.uint8)))
     out = {i: np.empty(len(starts), np.uint64) for i in wanted}
     for a in range(0, len(starts), SLICE):
-        at = starts[a : a + SLICE]
-        key = np.zeros(len(at), np.uint64)
+        at = starts[a : a + SLICE].astype(np.int64)
+        key, x, step = np.zeros(len(at), np.uint64), np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
         for j in range(max(ends, default=-1) + 1):
-            x = padded[at]
+            padded.take(at, out=x, mode="clip")
             if j in sampled:
-                key = (key ^ _MIX[x]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                key ^= key >> np.uint64(32)
+                key *= _FACTOR
+                key += x
             if j in ends:
-                out[ends[j]][a : a + len(key)] = key
-            at = at + moves[j][x]
+                got = key ^ key >> np.uint64(31)
+                got *= _FACTOR
+                out[ends[j]][a : a + len(key)] = got
+            moves[j].take(x, out=step, mode="clip")
+            at += step
     return out
 
 
-def grams(chars: str) -> np.ndarray:
-    """A 16-bit number of every GRAM characters in a row."""
-    c = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4")
+def grams(line: bytes) -> np.ndarray:
+    """A number of GRAM_BITS bits of every GRAM bytes in a row."""
+    c = np.frombuffer(line, np.uint8).astype(np.uint32)
     n = max(0, len(c) - GRAM + 1)
     h = np.zeros(n, np.uint32)
     for j in range(GRAM):
         h = (h ^ c[j : j + n]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-    return h >> np.uint32(16)
+    return (h >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
+
+
+def share_needed(size: int, similarity: float) -> float:
+    """What share of an item's different grams a window must hold, if the item has `size` bytes.
+
+    Of random edits, similarity ** GRAM of the grams survive, and some more match by chance; a margin that shrinks with the
+    root of the size leaves out at most one in a hundred of the windows that hold the item at `similarity` (own trial
+    with replaced, deleted and mixed characters, items of 30 to 390 bytes).
+    """
+    return similarity**GRAM + 0.08 - 1.74 / size**0.5
 
 
 class Items:
-    """A block of items, ready to be searched for: the keys of all their windows, sorted."""
+    """A block of items, ready to be searched for: the keys of all their stretches, sorted."""
 
     def __init__(self, rows: list[tuple], similarity: float = SIMILARITY) -> None:
-        self.ids, self.lines, self.budget, self.masks, self.grams = [], [], [], [], []
+        self.ids, self.lines, self.budget, self.masks, self.size, self.need = [], [], [], [], [], []
         parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        short: dict[str, list] = {}
+        have: list[np.ndarray] = []
         for ident, line in ((i, normal(t or "")) for i, t in rows):
-            starts = word_starts(line)
-            if len(starts) < MIN_WORDS:
-                continue
             chars = line.decode("utf-8", "surrogatepass")
+            if len(line) < EXACT:
+                if chars:
+                    short.setdefault(chars, []).append(ident)
+                continue
             k = len(self.ids)
             self.ids.append(ident)
             self.lines.append(chars)
             self.budget.append(int((1 - similarity) * len(chars) + 1e-9))
+            self.size.append(len(line))
+            own = np.unique(grams(line))
+            self.need.append(max(1, int(len(own) * share_needed(len(line), similarity))))
             masks: dict[str, int] = {}
             for i, c in enumerate(chars):
                 masks[c] = masks.get(c, 0) | 1 << i
             self.masks.append(masks)
-            self.grams.append(np.unique(grams(chars)))
-            rung = rung_of(len(line))
-            starts = starts[starts + RUNGS[rung][1] <= len(line)]
+            have.append(np.zeros(1 << GRAM_BITS, bool))
+            have[-1][own] = True
+            rung, starts = rung_of(len(line)), word_starts(line)
+            starts = starts[(starts + RUNGS[rung][1] // 2 <= len(line)) | (starts == 0)]
             for r, walk in enumerate(WALKS):
                 own = keys(line, starts, walk, {rung})[rung]
                 parts.setdefault((r, rung), []).append(np.stack([own, np.full(len(own), k, np.uint64), starts.astype(np.uint64)]))
@@ -151,16 +177,18 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[(t[0] >> np.uint64(44)).astype(np.int64)] = True
             self.tables[which] = (seen, t[0], t[1].astype(np.int64), t[2].astype(np.int64))
-        self.have = np.zeros(1 << 16, bool)
-        self.pieces, self.first_piece = [], [0]
-        for line in self.lines:
-            n = -(-len(line) // PIECE)
-            self.pieces += [line[len(line) * i // n : len(line) * (i + 1) // n] for i in range(n)]
-            self.first_piece.append(len(self.pieces))
-        self.table = np.zeros((len(self.pieces), 256), np.uint64)
-        for i, piece in enumerate(self.pieces):
-            for j, c in enumerate(piece):
-                self.table[i, ord(c) & 255] |= np.uint64(1 << j)
+        self.have = np.concatenate(have) if have else np.zeros(0, bool)
+        # A window reaches beyond the item by its budget, in bytes, on both sides, and by NEAR.
+        self.slack = np.array([2 * b + 8 for b in self.budget], np.int64)
+        self.span = np.array([-(-(n + 2 * b + 2 * NEAR) // 32) * 32 for n, b in zip(self.size, self.budget)], np.int64)
+        self.short = None
+        if short:
+            import ahocorasick
+
+            self.short = ahocorasick.Automaton()
+            for chars, idents in short.items():
+                self.short.add_word(f" {chars} ", (chars, idents))
+            self.short.make_automaton()
 
     def search(self, text: str) -> list[tuple]:
         return self.search_all([text])[0]
@@ -175,17 +203,24 @@ class Items:
             while b < len(lines) and (b == a or size + len(lines[b]) < GROUP):
                 size += len(lines[b])
                 b += 1
-            out += self._search(lines[a:b])
+            out += self._search(lines[a:b]) if self.ids else [[] for _ in lines[a:b]]
             a = b
+        if self.short is not None:
+            for line, found in zip(lines, out):
+                self.word_for_word(line, found)
         return out
 
-    def _search(self, lines: list[bytes]) -> list[list[tuple]]:
-        """The lines are walked as one, with a word between them that no item has."""
-        out: list[list[tuple]] = [[] for _ in lines]
-        joined = BETWEEN.join(lines)
-        starts = word_starts(joined)
-        first = np.cumsum([0] + [len(x) + len(BETWEEN) for x in lines[:-1]])
-        pairs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def word_for_word(self, line: bytes, found: list[tuple]) -> None:
+        """Adds the short items' first places."""
+        met: dict[str, tuple[list, int]] = {}
+        for end, (chars, idents) in self.short.iter(f" {line.decode('utf-8', 'surrogatepass')} "):
+            met.setdefault(chars, (idents, end - 1))
+        for chars, (idents, end) in met.items():
+            found += [(i, 0, 1.0, end - len(chars), end) for i in idents]
+
+    def windows(self, joined: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, place) of every window that a shared key proposes, once for places NEAR one another."""
+        starts, found = word_starts(joined), [np.zeros(0, np.int64)]
         for r, walk in enumerate(WALKS if len(starts) else []):
             for rung, got in keys(joined, starts, walk, self.rungs).items():
                 seen, known, item, word = self.tables[r, rung]
@@ -195,87 +230,61 @@ class Items:
                 q = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 p = np.repeat(starts[at], n)
                 doc = np.searchsorted(first, p, "right") - 1
-                pairs.append(doc * len(self.ids) + item[q])
-                # The window starts where the item would, counted in bytes.
-                places.append(p - first[doc] - word[q])
-        pair, place = np.concatenate(pairs), np.concatenate(places)
-        order = np.lexsort((place, pair))
-        pair, place = pair[order], place[order]
-        begun = np.flatnonzero(np.diff(pair, prepend=-1))
-        tried = []
-        for a, b in zip(begun.tolist(), [*begun[1:].tolist(), len(pair)]):
-            d, k = divmod(int(pair[a]), len(self.ids))
-            tried += [(d, k, *x) for x in self.stretches(k, lines[d], place[a:b].tolist())]
-        best: dict[tuple[int, int], tuple] = {}
-        for (d, k, a, part), near in zip(tried, self.near(tried).tolist()):
-            if near and (x := self.verify(k, lines[d], a, part)) and ((d, k) not in best or x[0] < best[d, k][0]):
-                best[d, k] = x
-        for (d, k), x in best.items():
-            out[d].append((self.ids[k], *x))
+                # The window starts where the item would, counted in bytes; items are shorter than 2 ** 31.
+                place = np.maximum(p - first[doc] - word[q], -NEAR) + NEAR
+                found.append(np.unique((doc * len(self.ids) + item[q] << 32) + place // NEAR))
+        every = np.unique(np.concatenate(found))
+        pair = every >> 32
+        return pair // max(1, len(self.ids)), pair % max(1, len(self.ids)), ((every & 0xFFFFFFFF) - 1) * NEAR
+
+    def alike(self, codes: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the window that begins at `begin`, of the item's span, holds enough of its grams."""
+        out = np.zeros(len(item), bool)
+        span, need = self.span[item], np.array(self.need)[item]
+        for wide in np.unique(span).tolist():
+            every, reach = np.flatnonzero(span == wide), np.arange(wide)
+            step = max(1, LOOKUPS // wide)
+            for a in range(0, len(every), step):
+                some = every[a : a + step]
+                hits = self.have[codes[begin[some][:, None] + reach] + (item[some] << GRAM_BITS)[:, None]]
+                out[some] = np.count_nonzero(hits, axis=1) >= need[some]
         return out
 
-    def near(self, tried: list[tuple]) -> np.ndarray:
-        """Of each (document, item, place, part), whether some piece of the item has at most its share of the edits in the part.
-
-        Of an item's n pieces one has a n-th of the edits at most, so nothing is lost. Characters count by their
-        last 8 bits, which only adds matches. Bit-parallel, many pieces at once.
-        """
-        out = np.array([len(part) > LONG for _, _, _, part in tried], bool)
-        order = sorted(np.flatnonzero(~out).tolist(), key=lambda i: len(tried[i][3]))
-        one = np.uint64(1)
-        for a in range(0, len(order), MANY):
-            some = order[a : a + MANY]
-            sizes = np.array([len(tried[i][3]) for i in some])
-            text = np.zeros((sizes.max(), len(some)), np.uint8)
-            for c, i in enumerate(some):
-                text[: sizes[c], c] = np.frombuffer(tried[i][3].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint8)
-            of = np.array([tried[i][1] for i in some])
-            n = np.array(self.first_piece)[of + 1] - np.array(self.first_piece)[of]
-            col = np.repeat(np.arange(len(some)), n)
-            piece = np.array([p for k in of.tolist() for p in range(self.first_piece[k], self.first_piece[k + 1])])
-            length = np.array([len(self.pieces[p]) for p in piece.tolist()])
-            full = (one << length.astype(np.uint64)) - one
-            top = (length - 1).astype(np.uint64)
-            pv, mv, score, least = full.copy(), np.zeros(len(piece), np.uint64), length.copy(), length.copy()
-            base, flat = piece * 256, self.table.ravel()
-            for t in range(len(text)):
-                eq = flat[base + text[t][col]]
-                xv = eq | mv
-                xh = (((eq & pv) + pv) ^ pv) | eq
-                ph = mv | (full & ~(xh | pv))
-                mh = pv & xh
-                score = score + ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
-                ph = (ph << one) & full
-                mh = (mh << one) & full
-                pv = mh | (full & ~(xv | ph))
-                mv = ph & xv
-                np.minimum(least, score, out=least)
-            # Past the end of a shorter part zeros are read: that can only add to what is verified.
-            share = (np.array(self.budget)[of] // n)[col]
-            out[np.array(some)[col[least <= share]]] = True
+    def _search(self, lines: list[bytes]) -> list[list[tuple]]:
+        """The lines are walked as one, with a word between them that no item has."""
+        out: list[list[tuple]] = [[] for _ in lines]
+        joined = BETWEEN.join(lines)
+        first = np.cumsum([0] + [len(x) + len(BETWEEN) for x in lines[:-1]])
+        doc, item, place = self.windows(joined, first)
+        if not len(doc):
+            return out
+        codes = np.concatenate((grams(joined), np.zeros(int(self.span.max()) + GRAM, np.int32)))
+        begin = np.maximum(first[doc] + place - np.array(self.budget)[item], 0)
+        good = self.alike(codes, np.minimum(begin, len(joined)), item)
+        doc, item, place = doc[good], item[good], place[good]
+        order = np.lexsort((place, item, doc))
+        doc, item, place = doc[order], item[order], place[order]
+        pair = doc * len(self.ids) + item
+        begun = np.flatnonzero(np.diff(pair, prepend=-1)).tolist()
+        for a, b in zip(begun, [*begun[1:], len(pair)]):
+            d, k = int(doc[a]), int(item[a])
+            found = [x for begin, part in self.stretches(k, lines[d], place[a:b].tolist()) if (x := self.verify(k, lines[d], begin, part))]
+            if found:
+                out[d].append((self.ids[k], *min(found, key=lambda x: x[0])))
         return out
 
-    def plausible(self, k: int, found: np.ndarray) -> bool:
-        """Whether a part of a text (its grams) can hold the item within its budget: each edit spoils GRAM grams at most."""
-        m, budget = len(self.lines[k]), self.budget[k]
-        need, wide = m - GRAM + 1 - GRAM * budget, m + budget
-        self.have[self.grams[k]] = True
-        shared = np.concatenate(([0], np.cumsum(self.have[found])))
-        self.have[self.grams[k]] = False
-        return need <= (shared[-1] if len(found) <= wide else (shared[wide:] - shared[:-wide]).max())
-
     def stretches(self, k: int, line: bytes, places: list[int]) -> list[tuple[int, str]]:
         """(where it begins in bytes, the part of the line) of each stretch; places that lie near one another are one."""
-        slack, wide = 2 * self.budget[k] + 8, len(self.lines[k].encode("utf-8", "surrogatepass"))
+        slack, wide = int(self.slack[k]), self.size[k]
         found: list[list[int]] = []
         for place in places:
-            if found and place - found[-1][1] <= wide + slack:
+            if found and place - found[-1][1] <= slack:
                 found[-1][1] = place
             else:
                 found.append([place, place])
         out = []
         for first, last in found:
-            a, b = max(0, first - slack), min(len(line), last + wide + slack)
+            a, b = max(0, first - slack), min(len(line), last + wide + slack + NEAR)
             while a > 0 and line[a] & 0xC0 == 0x80:
                 a -= 1
             while b < len(line) and line[b] & 0xC0 == 0x80:
@@ -286,11 +295,12 @@ class Items:
 
     def verify(self, k: int, line: bytes, a: int, part: str) -> tuple | None:
         """The best place of the item in a part of the line that begins at `a`."""
-        item, budget = self.lines[k], self.budget[k]
-        if not self.plausible(k, grams(part)):
+        item, found = self.lines[k], grams(part.encode("utf-8", "surrogatepass"))
+        own = found[self.have[found + (k << GRAM_BITS)]]
+        if len(np.unique(own)) < self.need[k]:
             return None
         d, end = distance_within(self.masks[k], len(item), part)
-        if d > budget:
+        if d > self.budget[k]:
             return None
         before = len(line[:a].decode("utf-8", "surrogatepass"))
         return d, round(1 - d / len(item), 6), max(0, before + end - len(item)), before + end
@@ -319,13 +329,14 @@ def distance_within(masks: dict[str, int], m: int, text: str) -> tuple[int, int]
     return best, end
 
 
-def item_blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_CHARS) -> list[list[tuple]]:
-    """The items in blocks of about `limit` characters each."""
+def item_blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in blocks of about `limit` characters each, one at a time, and whether it is the only one."""
     rows = benchmark.select(F.col(key).alias("k"), whole(text).alias("t"))
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(total // limit) + 1
     block = F.pmod(F.xxhash64("k", "t"), F.lit(n))
-    return [[tuple(r) for r in (rows if n == 1 else rows.filter(block == i)).collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in (rows if n == 1 else rows.filter(block == i)).collect()], n == 1
 
 
 LEAK = "array<struct<item:{0},distance:int,similarity:double,start:long,end:long>>"
@@ -358,18 +369,23 @@ def _searched(docs: DataFrame, block: list[tuple], text: str, ident: DataType, k
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, item, distance, similarity, start, end): one row for each item that a document holds."""
-    kind = benchmark.schema[item].dataType
-    rows = docs.select(F.col(key), F.col(text).alias("__t"))
-    parts = [_searched(rows, b, "__t", kind, False, similarity) for b in item_blocks(benchmark, item, item_text)]
-    out = union_all(parts).select(key, F.explode("__leaks").alias("x"))
-    return out.select(F.col(key), F.col("x.item").alias(item), "x.distance", "x.similarity", "x.start", "x.end")
+    names = [key, item, "distance", "similarity", "start", "end"]
+    if len(set(names)) < len(names):
+        raise ValueError(f"names of the result clash: {names}")
+    kind, parts = benchmark.schema[item].dataType, []
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    for block, only in item_blocks(benchmark, item, item_text):
+        found = _searched(rows, block, "__text", kind, False, similarity).select("__key", F.explode("__leaks").alias("x"))
+        parts.append(found if only else stored(found, "leaks"))
+    return union_all(parts).select(F.col("__key").alias(key), F.col("x.item").alias(item), "x.distance", "x.similarity", "x.start", "x.end")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the rows that hold an item; no shuffle, the other rows pass unchanged."""
     kind = benchmark.schema[item].dataType
-    for b in item_blocks(benchmark, item, item_text):
-        docs = _searched(docs, b, text, kind, True, similarity)
+    for block, only in item_blocks(benchmark, item, item_text):
+        docs = _searched(docs, block, text, kind, True, similarity)
+        docs = docs if only else stored(docs, "without-leaks")
     return docs
 
 

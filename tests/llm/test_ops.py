@@ -272,6 +272,42 @@ def test_decontaminate_recall(lone):
     assert found >= 0.97 * n
 
 
+@pytest.mark.parametrize("kind", ["replaced", "deleted", "inserted", "mixed"])
+def test_decontaminate_recall_by_kind(kind):
+    """Recall of 0.9 at least at every share of edits up to the threshold, with 40 items as with 200."""
+    import pyarrow.parquet as pq
+
+    from tests.llm.recall import KINDS, recall
+
+    for sf in ("sf0.01", "sf0.1"):
+        rows = [(r["item_id"], r["text"]) for r in pq.read_table(f"/root/testdata/{sf}/benchmark.parquet").to_pylist()]
+        for share in (0.1, 0.15, 0.18, 0.2):
+            assert recall(rows, share, KINDS[kind], np.random.default_rng(5), 200 // len(rows)) >= 0.9
+
+
+def test_decontaminate_short():
+    """Short items are found word for word, items without spaces from any character on."""
+    items = op1.Items([(1, "what is love"), (2, "什么是爱什么是生活请你告诉我们吧"), (3, " "), (4, None), (5, "What  is LOVE"), (6, "愛とは何か")])
+    found = lambda t: sorted((x[0], x[1], x[3], x[4]) for x in items.search(t))
+    assert found("Tell me what IS\nlove now") == [(1, 0, 8, 20), (5, 0, 8, 20)]
+    assert found("somewhat is love") == [] and found("what is lovely") == [] and found("") == []
+    text = "他们说什么是爱什么是生活请你告诉我们吧真的"
+    assert [(i, d) for i, d, _, _ in found(text)] == [(2, 0)] and found("愛とは何か")[0][0] == 6
+    assert [(x[0], x[1]) for x in items.search(text.replace("生活", "生话"))] == [(2, 1)]
+    assert op1.Items([]).search_all(["a b c", ""]) == [[], []]
+
+
+def test_decontaminate_columns(spark):
+    bench = spark.createDataFrame([(1, "the same words of a benchmark item that is long enough to be told from others")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: the same words of a benchmark item that is long enough to be told from others", "x", 2), (1, None, "y", None)], "`__text` long, text string, `__key` string, item_id int")
+    assert [tuple(r)[:3] for r in op1.leaks(docs, bench, key="__text").collect()] == [(1, 1, 0)]
+    assert [tuple(r) for r in op1.without_leaks(docs, bench).collect()] == [(1, None, "y", None)]
+    with pytest.raises(ValueError):
+        op1.leaks(docs, bench, key="item_id")
+    blocks = list(op1.item_blocks(bench.unionByName(bench).unionByName(bench), "item_id", "text", 100))
+    assert len(blocks) == 3 and sum(len(b) for b, _ in blocks) == 3 and not any(only for _, only in blocks)
+
+
 def test_html(spark, sf):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var a="</p><p>no";</script></head><body>
     <header><div class="logo">Site</div></header><nav><ul><li><a href=/a>One</a></li></ul></nav>
@@ -301,7 +337,13 @@ def test_html(spark, sf):
 def test_media(spark, docs, rows):
     more = docs.unionByName(spark.createDataFrame([(500 + i, "".join(chr(97 + (j * j + i // 3) % 26) for j in range(40000))) for i in range(9)], "doc_id long, text string"))
     more = more.unionByName(spark.createDataFrame([(600 + i, "one small text") for i in range(200)], "doc_id long, text string"))
+    long = "".join(chr(97 + (j * 7 + j // 11) % 26) for j in range(70000))
+    rng = np.random.default_rng(9)
+    noise = "".join(map(chr, rng.integers(32, 127, 90000).tolist()))
+    odd = [long, long + "\0", long + "\0" * 3, *[noise] * 200, *[noise + str(i) for i in range(40)], "a", "a\0", "a" + "\0" * 63, "", "\0"]
+    more = more.unionByName(spark.createDataFrame([(3000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     all_rows = [(r[0], r[1] or "") for r in more.collect()]
+    tables = len(spark.catalog.listTables())
     got = op6.round_trip(more).collect()
     assert len(got) == len(all_rows)
     want = {}
@@ -311,6 +353,7 @@ def test_media(spark, docs, rows):
         wav = op6.header(len(data)) + data
         want[i] = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), op6.feature(data))
     assert {r[0]: tuple(r[1:]) for r in got} == want
+    assert len(spark.catalog.listTables()) == tables
     assert op6.round_trip(empty(spark)).count() == 0
     data = np.random.default_rng(3).integers(0, 256, 1 << 20, dtype=np.uint8).tobytes()
     a, b = op6.chunks(data), op6.chunks(b"new head" + data)
