@@ -2,15 +2,17 @@
 
 A text's UTF-8 bytes, padded to 64, are the samples of an 8-bit mono WAV. A rolling gear hash cuts the
 samples into chunks; digests of all chunks meet in a Spark aggregation, each different chunk is stored
-once, in a table bucketed by digest, and every row keeps its ordered list of digests. Reading back joins
-the lists to the stored chunks, puts them in order, checks the payload's digest and computes features.
+once, in files bucketed by digest, and every row keeps its file's head and its ordered list of digests.
+Reading back joins the lists to the stored chunks, puts head and chunks in order, checks the payload's digest
+and computes features of the bytes read. Both tables lie in the shared folder.
 
-Rows of one chunk, the most by far, are whole after the join; only longer ones are grouped by row.
-Chunks that very many rows share (each at least 1/HOT of all references, so fewer than HOT) are joined
-by broadcast, so that no task gathers them.
+Rows of one chunk, the most by far, are whole after the join; only longer ones are grouped by content. Chunks, and
+long contents, that very many rows share (each at least 1/HOT of all references, so fewer than HOT) are joined by
+broadcast, so that no task gathers them.
 
-Edge cases: a null or empty text is 64 zero bytes; equal texts share all chunks and give equal values;
-null or repeated keys are kept row by row; empty tables give empty results; other columns are not read.
+Edge cases: a null or empty text is 64 zero bytes; equal texts share all chunks and give equal values; texts that
+differ by trailing zero bytes alone share the payload, not the length; null or repeated keys are kept row by row;
+empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, arrow_map, load, stored, whole
+from .common import CLEANUP, arrow_map, load, shared_dir, stored, union_all, whole
 
 LEAST, MASK_BITS, MOST = 4096, 14, 65536
 UNIT = 64
 HOT = 512
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 RATE = 8000
 _GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -82,20 +84,21 @@ def feature(samples: bytes) -> str:
 
 
 def lists(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, sha, digests): every row's payload as an ordered list of chunk digests."""
+    """(key, n_bytes, sha, head, digests): every row's media as its head and an ordered list of chunk digests."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, sha, digests = [], [], []
+        n, sha, head, digests = [], [], [], []
         for t in b.column(1):
             raw = t.as_py()
             data = payload(raw)
             n.append(len(raw))
             sha.append(hashlib.sha256(data).digest())
+            head.append(header(len(data)))
             digests.append([hashlib.sha256(c).digest() for c in chunks(data)])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["key", "n_bytes", "sha", "digests"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(head, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["key", "n_bytes", "sha", "head", "digests"])
 
     rows = docs.select(F.col(key).alias("key"), whole(text).cast("binary").alias("t"))
-    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, sha binary, digests array<binary>")
+    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, sha binary, head binary, digests array<binary>")
 
 
 def pieces(docs: DataFrame, text: str) -> DataFrame:
@@ -116,36 +119,47 @@ def pieces(docs: DataFrame, text: str) -> DataFrame:
 
 
 def store_chunks(docs: DataFrame, text: str, n_bytes: int) -> DataFrame:
-    """The chunk store: every different chunk once, in a table bucketed by digest."""
+    """The chunk store: every different chunk once, in files of the shared folder bucketed by digest."""
     spark = docs.sparkSession
-    n = max(8, -(-n_bytes // BUCKET_BYTES))
+    n = max(2, -(-n_bytes // BUCKET_BYTES))
     once = pieces(docs, text).repartition(n, "digest").groupBy("digest").agg(F.first("z").alias("z"))
     name = f"media_chunks_{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        once.write.bucketBy(n, "digest").option("compression", "none").format("parquet").saveAsTable(name)
+        once.write.bucketBy(n, "digest").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.table(name)
+    store = spark.table(name)
+    store.schema  # the files stay; only the name, which the bucketing needed, goes
+    spark.sql(f"DROP TABLE {name}")
+    return store
+
+
+def _hot(refs: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The keys that very many of `total` rows share: fewer than HOT."""
+    return refs.groupBy(*keys).count().filter(F.col("count") > max(64, total // HOT)).select(*keys)
+
+
+def _spread(refs: DataFrame, other: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The equi-join of `refs` and `other`, the hot keys by broadcast."""
+    hot = F.broadcast(_hot(refs, keys, total))
+    usual = refs.join(hot, keys, "left_anti").join(other, keys)
+    return usual.unionByName(refs.join(F.broadcast(other.join(hot, keys, "left_semi")), keys))
 
 
 def read_back(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from stored chunks."""
+    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from stored heads and chunks."""
     kind = rows.schema["key"].dataType.simpleString()
-    refs = rows
-    one = refs.filter(F.size("digests") == 1).select("key", "n_bytes", "sha", F.lit(1).alias("parts"), F.lit(0).alias("ord"), F.col("digests")[0].alias("digest"))
-    # Rows of equal key, content and length are equal in all that is returned: they are put together once.
-    many = refs.filter(F.size("digests") > 1).groupBy("sha", "n_bytes").agg(F.first("digests").alias("digests"))
-    many = many.select(F.lit(None).cast(kind).alias("key"), "n_bytes", "sha", F.size("digests").alias("parts"), F.posexplode("digests").alias("ord", "digest"))
-    total = refs.agg(F.sum(F.size("digests"))).first()[0] or 0
-    hot = one.groupBy("digest").count().filter(F.col("count") > max(64, total // HOT)).select("digest")
-    hot_chunks = F.broadcast(store.join(F.broadcast(hot), "digest", "left_semi"))
-    usual = one.join(F.broadcast(hot), "digest", "left_anti")
-    joined = lambda refs_: refs_.join(store, "digest").select("key", "n_bytes", "sha", "parts", "ord", "z")
-    single = joined(usual).unionByName(one.join(hot_chunks, "digest").select("key", "n_bytes", "sha", "parts", "ord", "z"))
-    single = single.select("key", "n_bytes", "sha", "parts", F.array(F.struct("ord", "z")).alias("zs"))
-    long = joined(many).groupBy("sha", "n_bytes").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("ord", "z"))).alias("zs"))
+    n_rows, n_refs = rows.agg(F.count("*"), F.sum(F.size("digests"))).first()
+    place = ["key", "n_bytes", "sha", "head", "parts"]
+    one = rows.filter(F.size("digests") == 1).select("key", "n_bytes", "sha", "head", F.lit(1).alias("parts"), F.lit(0).alias("ord"), F.col("digests")[0].alias("digest"))
+    # Rows of equal content and length are equal in all that is returned: they are put together once.
+    long_rows = rows.filter(F.size("digests") > 1)
+    many = long_rows.groupBy("sha", "n_bytes").agg(F.first("head").alias("head"), F.first("digests").alias("digests"))
+    many = many.select(F.lit(None).cast(kind).alias("key"), "n_bytes", "sha", "head", F.size("digests").alias("parts"), F.posexplode("digests").alias("ord", "digest"))
+    single = _spread(one, store, ["digest"], n_refs or 0).select(*place, F.array(F.struct("ord", "z")).alias("zs"))
+    long = _spread(many, store, ["digest"], n_refs or 0).groupBy("sha", "n_bytes").agg(F.first("key").alias("key"), F.first("head").alias("head"), F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("ord", "z"))).alias("zs"))
     outs = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,24 +168,25 @@ def read_back(rows: DataFrame, store: DataFrame) -> DataFrame:
         open_ = zstandard.ZstdDecompressor()
         out: list[list] = [[] for _ in range(7)]
         cols = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-        for n, sha, parts, zs in zip(cols["n_bytes"].to_pylist(), cols["sha"].to_pylist(), cols["parts"].to_pylist(), cols["zs"]):
+        for n, sha, head, parts, zs in zip(*(cols[c].to_pylist() for c in ("n_bytes", "sha", "head", "parts")), cols["zs"]):
             listed = zs.as_py()
             data = b"".join(open_.decompress(x["z"]) for x in listed)
             digest = hashlib.sha256(data)
             if len(listed) != parts or digest.digest() != sha:
                 raise ValueError(f"stored media of {n} bytes differ from what was written")
-            media = hashlib.sha256(header(len(data)))
+            media = hashlib.sha256(head)
             media.update(data)
-            for c, v in zip(out, (n, len(data), digest.hexdigest(), zlib.crc32(data[-UNIT:]), 44 + len(data), media.hexdigest(), feature(data))):
+            for c, v in zip(out, (n, len(data), digest.hexdigest(), zlib.crc32(data[-UNIT:]), len(head) + len(data), media.hexdigest(), feature(data))):
                 c.append(v)
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([cols["key"], cols["sha"], *[pa.array(v, t) for v, t in zip(out, types)]], names=["key", "sha", *[x.split()[0] for x in outs.split(", ")]])
 
     schema = f"key {kind}, sha binary, {outs}"
-    whole_single = arrow_map(single, run, schema).drop("sha")
-    whole_long = arrow_map(long.withColumn("key", F.lit(None).cast(kind)), run, schema).drop("key", "n_bytes")
-    many_keys = refs.filter(F.size("digests") > 1).select("key", "n_bytes", "sha")
-    return whole_single.unionByName(many_keys.join(whole_long, "sha").drop("sha"))
+    whole_single = arrow_map(single.select(*place, "zs"), run, schema).drop("sha")
+    # A row of digests and features for each long content: little, but much work to make.
+    whole_long = stored(arrow_map(long.select(*place, "zs"), run, schema).drop("key"), "media-long")
+    whole_many = _spread(long_rows.select("key", "n_bytes", "sha"), whole_long, ["sha", "n_bytes"], n_rows).drop("sha")
+    return union_all([whole_single, whole_many])
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
