@@ -23,10 +23,20 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, with as many underscores behind it as `df` needs to have no such column."""
+    have = {c.lower() for c in df.columns}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if Spark runs in this process alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "factloom-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/factloom"
@@ -106,6 +116,22 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+#: A key counts as hot from 1/HOT of all rows, and LEAST_HOT rows, on.
+HOT, LEAST_HOT = 512, 64
+
+
+def spread_join(refs: DataFrame, other: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """The equi-join of `refs` (`total` rows) and `other` on non-null keys, `how` being inner, left or left_semi.
+
+    Rows of `refs` with a hot key meet their part of `other` by broadcast: there are fewer than HOT such keys, and `other` is
+    to hold a bounded number of rows for each. No task gathers the rows of a key.
+    """
+    hot = F.broadcast(refs.groupBy(*keys).count().filter(F.col("count") > max(LEAST_HOT, total // HOT)).select(*keys))
+    usual = refs.join(hot, keys, "left_anti").join(other.hint("merge"), keys, how)
+    crowded = refs.join(hot, keys, "left_semi").join(F.broadcast(other.join(hot, keys, "left_semi")), keys, how)
+    return usual.unionByName(crowded)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

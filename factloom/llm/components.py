@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps, each a pair of grouped joins.
 
-No vertex's neighbours are ever gathered, nothing but one count per round reaches the driver, and each
+No vertex's neighbours are ever gathered, nothing but two numbers per round reach the driver, and each
 round's edges are a table in the shared folder, so a lost executor costs at most one round.
 """
 
@@ -9,39 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 
 
-def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
-    """The least of each vertex's neighbours and itself; pre-aggregated before the shuffle by Spark."""
-    return edges.groupBy(key).agg(F.least(F.min(other), F.first(key)).alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _least(both, "u", "v")
-    return both.filter("v > u").join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    links = spread_join(both.filter("v > u"), m, ["u"], n)
+    return links.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges here go from the larger end u to the smaller v."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     m = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
+    links = spread_join(down, m, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
     return links.filter("u != v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
     """(u, root): every vertex of `edges` (u, v) that isn't the least of its component, with that least.
 
-    Duplicate edges, loops and either direction are fine; an empty table gives an empty result.
+    Duplicate edges, loops and either direction are fine; an empty table gives an empty result. A hub's edges are
+    joined by broadcast of the hub's least neighbour. Each round at least halves the length of the longest path to a root,
+    about: if the edges still change after `rounds`, that is an error, and no half result is returned.
     """
     now = scratch.put(edges.select("u", "v").filter("u != v").distinct(), "edges")
-    mark = None
+    mark: tuple = (now.count(), None)
     for _ in range(rounds):
-        now = scratch.put(_small_star(_large_star(now)), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    return now.select("u", F.col("v").alias("root"))
+        now = scratch.put(_small_star(_large_star(now, 2 * mark[0]), mark[0]), "edges")
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
+            return now.select("u", F.col("v").alias("root"))
+        mark = seen
+    raise RuntimeError(f"components not done after {rounds} rounds")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, whole
+from .common import load, spread_join, whole
 from .textspan import gaps_of, hits_of, joined, places
 
 RULES_VERSION = "2026-01"
@@ -70,14 +70,13 @@ def update(ledger: DataFrame | None, docs: DataFrame, path: str = "doc_id", text
     Only hashes and ids are grouped. The one copy to be scanned is found by its id, so a text that a
     third of all rows share is moved as often as any other row, never gathered.
     """
-    paths = address(docs, path, text)
-    todo = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    todo = address(docs, path, text).groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         todo = todo.join(ledger.filter(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    texts = docs.select(F.col(path).alias("path"), whole(text).alias("text"))
+    texts = docs.select(F.col(path).alias("path"), whole(text).alias("text")).withColumn("blob", F.sha2("text", 256))
     t, d = todo.alias("t"), texts.alias("d")
-    # A path may be null or repeat: the blob decides among its rows, and equal findings fold.
-    picked = d.join(t.hint("shuffle_hash"), F.col("d.path").eqNullSafe(F.col("t.path")) & (F.sha2(F.col("d.text"), 256) == F.col("t.blob")))
+    # A path may be null or repeat: the blob tells its rows apart, and equal findings fold.
+    picked = d.join(t.hint("shuffle_hash"), F.col("d.path").eqNullSafe(F.col("t.path")) & (F.col("d.blob") == F.col("t.blob")))
     found = scan(picked.select(F.col("t.blob").alias("blob"), F.col("d.text").alias("text")))
     return found.dropDuplicates(["blob"]).select("blob", F.lit(rules).alias("rules"), "spans")
 
@@ -85,7 +84,9 @@ def update(ledger: DataFrame | None, docs: DataFrame, path: str = "doc_id", text
 def findings(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text", rules: str = RULES_VERSION) -> DataFrame:
     """(path, blob, spans) of every row; rows without a finding have an empty array."""
     seen = ledger.filter((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans")
-    out = address(docs, path, text).join(seen, "blob", "left")
+    paths = address(docs, path, text)
+    # A text that very many rows share is one row of the ledger.
+    out = spread_join(paths, seen, ["blob"], paths.count(), "left")
     return out.select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

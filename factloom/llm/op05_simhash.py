@@ -13,8 +13,11 @@ fewer have one between them, at 2 bits or fewer from both. Every member enters i
 exact, and grows with the members alone.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other; texts of under four
-words are one shingle; equal fingerprints are one vertex; null ids are kept, without a component of
-their own to name (component_id is the least id that isn't null); empty tables give empty results.
+words are one shingle; equal fingerprints are one vertex, whatever ids they have, so that repeated rows and
+repeated ids link nothing else; component_id is the least id of a class that isn't null, null if there is none;
+empty tables give empty results.
+
+Both ways through a cell are exact at every size: DENSE only says which costs less.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, load, stored, union_all, whole
+from .common import Scratch, arrow_map, free_name, load, spread_join, stored, union_all, whole
 from .components import components
 
 WORDS = 4
@@ -37,6 +40,8 @@ DENSE = 48
 PAIRS = 8
 PAIRED = (1 << 2 * PAIRS) - 1
 BLOCK = 1 << 15
+#: Cells of a fingerprint, about.
+CELLS = 58
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -106,8 +111,8 @@ def links(fps: DataFrame, dense: int = DENSE, distance: int = DISTANCE) -> DataF
         raise ValueError("the grid is laid out for 4 differing bits")
     rows = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     # Only cells with company matter; a member of a dense cell is told apart by the count.
-    members = rows.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1")
-    members = stored(members, "simhash-cells")
+    crowds = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(spread_join(rows, crowds, ["cell"], CELLS * fps.count()), "simhash-cells")
     few = members.filter(F.col("n") <= dense).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = lambda x, y: (F.bit_count(x.bitwiseXOR(y)) <= distance) & (x < y)
     pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda y: near(F.col("a"), y))).alias("b"))
@@ -121,22 +126,41 @@ def links(fps: DataFrame, dense: int = DENSE, distance: int = DISTANCE) -> DataF
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): one row per document; equal component_id means near-duplicates."""
-    scratch = Scratch(docs.sparkSession)
     rows = stored(fingerprints(docs, key, text), "simhash-fps")
+    named = _named(rows, key)
+    return spread_join(rows, named, ["fp"], rows.count()).select(key, "fp", "component_id")
+
+
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    """(fp, root, component_id) of each different fingerprint: its class, and the least id in it."""
     reps = stored(rows.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-reps")
-    ab = links(reps.select("fp"))
-    a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("v"))
-    edges = ab.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("u", "v").dropna()
-    roots = components(edges, scratch)
-    named = reps.join(roots.hint("merge"), reps["rep"] == roots["u"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
+    ab = links(reps.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(ab, Scratch(rows.sparkSession)).withColumnRenamed("u", "fp")
+    linked = reps.join(roots.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return spread_join(linked, least, ["root"], reps.count()).select("fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without near-duplicates: of each class the row with the least id stays, once; null ids stay."""
-    kept = classes(docs, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(kept.hint("merge"), key, "left_semi")
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    """`docs` without near-duplicates: of each class one row stays, the one with the least id.
+
+    Null ids come last; of rows with the same id, the one whose text has the least hash stays; of rows that are also
+    equal in that, any one. The other columns pass unchanged, whatever their names.
+    """
+    name = lambda x: free_name(docs, x)
+    k, h, id_ = name("__key"), name("__hash"), name("__id")
+    content = F.xxhash64(whole(text))
+    rows = docs.select(F.struct(F.col(key).alias("id"), content.alias("hash")).alias("row"), whole(text).alias("text"))
+    rows = stored(fingerprints(rows, "row", "text"), "simhash-fps").select(F.col("row.id").alias("id"), F.col("row.hash").alias("hash"), "fp")
+    named = _named(rows, "id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash")))
+    heads = spread_join(rows, named.select("fp", "root"), ["fp"], rows.count()).groupBy("root").agg(first.alias("x"))
+    heads = heads.select(F.col("x.id").alias(id_), F.xxhash64("x.id", "x.none").alias(k), F.col("x.hash").alias(h)).distinct()
+    keyed = docs.withColumns({k: F.xxhash64(F.col(key), F.col(key).isNull()), h: content})
+    met = keyed.join(heads.hint("merge"), [k, h]).filter(F.col(key).eqNullSafe(F.col(id_)))
+    # Rows that repeat id and text: only those that do meet in an aggregation.
+    once = met.groupBy(k, h).agg(*[F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")])
+    return once.select("__row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ Reading back joins the lists to the stored chunks, puts head and chunks in order
 and computes features of the bytes read. Both tables lie in the shared folder.
 
 Rows of one chunk, the most by far, are whole after the join; only longer ones are grouped by content. Chunks, and
-long contents, that very many rows share (each at least 1/HOT of all references, so fewer than HOT) are joined by
+long contents, that very many rows share (see common.spread_join) are joined by
 broadcast, so that no task gathers them.
 
 Edge cases: a null or empty text is 64 zero bytes; equal texts share all chunks and give equal values; texts that
@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, arrow_map, load, shared_dir, stored, union_all, whole
+from .common import CLEANUP, arrow_map, load, shared_dir, spread_join, stored, union_all, whole
 
 LEAST, MASK_BITS, MOST = 4096, 14, 65536
 UNIT = 64
-HOT = 512
 BUCKET_BYTES = 16 << 20
 RATE = 8000
 _GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -136,18 +135,6 @@ def store_chunks(docs: DataFrame, text: str, n_bytes: int) -> DataFrame:
     return store
 
 
-def _hot(refs: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """The keys that very many of `total` rows share: fewer than HOT."""
-    return refs.groupBy(*keys).count().filter(F.col("count") > max(64, total // HOT)).select(*keys)
-
-
-def _spread(refs: DataFrame, other: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """The equi-join of `refs` and `other`, the hot keys by broadcast."""
-    hot = F.broadcast(_hot(refs, keys, total))
-    usual = refs.join(hot, keys, "left_anti").join(other, keys)
-    return usual.unionByName(refs.join(F.broadcast(other.join(hot, keys, "left_semi")), keys))
-
-
 def read_back(rows: DataFrame, store: DataFrame) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from stored heads and chunks."""
     kind = rows.schema["key"].dataType.simpleString()
@@ -158,8 +145,8 @@ def read_back(rows: DataFrame, store: DataFrame) -> DataFrame:
     long_rows = rows.filter(F.size("digests") > 1)
     many = long_rows.groupBy("sha", "n_bytes").agg(F.first("head").alias("head"), F.first("digests").alias("digests"))
     many = many.select(F.lit(None).cast(kind).alias("key"), "n_bytes", "sha", "head", F.size("digests").alias("parts"), F.posexplode("digests").alias("ord", "digest"))
-    single = _spread(one, store, ["digest"], n_refs or 0).select(*place, F.array(F.struct("ord", "z")).alias("zs"))
-    long = _spread(many, store, ["digest"], n_refs or 0).groupBy("sha", "n_bytes").agg(F.first("key").alias("key"), F.first("head").alias("head"), F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("ord", "z"))).alias("zs"))
+    single = spread_join(one, store, ["digest"], n_refs or 0).select(*place, F.array(F.struct("ord", "z")).alias("zs"))
+    long = spread_join(many, store, ["digest"], n_refs or 0).groupBy("sha", "n_bytes").agg(F.first("key").alias("key"), F.first("head").alias("head"), F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("ord", "z"))).alias("zs"))
     outs = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,7 +172,7 @@ def read_back(rows: DataFrame, store: DataFrame) -> DataFrame:
     whole_single = arrow_map(single.select(*place, "zs"), run, schema).drop("sha")
     # A row of digests and features for each long content: little, but much work to make.
     whole_long = stored(arrow_map(long.select(*place, "zs"), run, schema).drop("key"), "media-long")
-    whole_many = _spread(long_rows.select("key", "n_bytes", "sha"), whole_long, ["sha", "n_bytes"], n_rows).drop("sha")
+    whole_many = spread_join(long_rows.select("key", "n_bytes", "sha"), whole_long, ["sha", "n_bytes"], n_rows).drop("sha")
     return union_all([whole_single, whole_many])
 
 

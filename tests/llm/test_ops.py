@@ -477,3 +477,32 @@ def test_chat_lost_links(spark):
     assert got[1, 0] == (5, 0, 1, 1) and got[1, 3] == (1, 0, 0, 0)
     assert got[6, 7] == (6, 0, 1, 1) and got[6, 2000] == (6, 7, 1, 0) and got[6, 2001] == (6, 2000, 0, 0)
     assert got[7, 0] == (None, None, 1, 0) and got[None, 5] == (None, None, 0, 0)
+
+
+def test_simhash_repeated_rows(spark):
+    """One row of each class stays, whatever repeats: ids, texts, whole rows, null ids."""
+    a, b, c = "one text of many words that stands here", "quite another text with other words in it", "and a third that nobody else has at all"
+    rows = [(9, a, "x"), (9, a, "x"), (7, b, "y"), (7, a, "z"), (None, b, "n"), (None, c, "n"), (None, c, "n"), (4, b, "w"), (12, a, None), (20, None, "e"), (21, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__key` string")
+    got = sorted(map(tuple, op5.keep_first(docs).collect()), key=str)
+    assert got == sorted([(7, a, "z"), (4, b, "w"), (None, c, "n"), (20, None, "e")], key=str)
+    found = sorted(map(tuple, op5.classes(docs).select("doc_id", "component_id").collect()), key=str)
+    assert found == sorted([(9, 7), (9, 7), (7, 4), (7, 7), (None, 4), (None, None), (None, None), (4, 4), (12, 7), (20, 20), (21, 20)], key=str)
+
+
+def test_components_hub(spark):
+    from factloom.llm.common import Scratch
+    from factloom.llm.components import components as cc
+
+    edges = [(5000, i) for i in range(2000)] + [(6000 + i, 6001 + i) for i in range(300)]
+    got = {r[0]: r[1] for r in cc(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
+    assert got == {**{i: 0 for i in range(1, 2000)}, 5000: 0, **{6001 + i: 6000 for i in range(300)}}
+    with pytest.raises(RuntimeError):
+        cc(spark.createDataFrame(edges, "u long, v long"), Scratch(spark), rounds=1)
+
+
+def test_secrets_hot_blob(spark):
+    rows = [(i, "token: abcdefgh12345") for i in range(900)] + [(None, "token: abcdefgh12345")] * 50 + [(i, f"password=abcdefgh{i}") for i in range(50)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op4.findings(docs, op4.update(None, docs)).collect()
+    assert len(got) == len(rows) and sum(len(r["spans"]) for r in got) == 1000
