@@ -120,13 +120,19 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 HOT, LEAST_HOT = 512, 64
 
 
-def spread_join(refs: DataFrame, other: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+def spread_join(refs: DataFrame, other: DataFrame, keys: list[str], total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """The equi-join of `refs` (`total` rows) and `other` on non-null keys, `how` being inner, left or left_semi.
 
-    Rows of `refs` with a hot key meet their part of `other` by broadcast: there are fewer than HOT such keys, and `other` is
-    to hold a bounded number of rows for each. No task gathers the rows of a key.
+    Rows of `refs` with a hot key meet their part of `other` by broadcast: there are fewer than HOT such keys (they are
+    looked up at once, in `counts` with their number n if given), and `other` is to hold a bounded number of rows for
+    each. No task gathers the rows of a key. Without a hot key this is a plain join.
     """
-    hot = F.broadcast(refs.groupBy(*keys).count().filter(F.col("count") > max(LEAST_HOT, total // HOT)).select(*keys))
+    if counts is None:
+        counts = refs.groupBy(*keys).agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") > max(LEAST_HOT, total // HOT)).select(*keys).collect() if total > LEAST_HOT else []
+    if not found:
+        return refs.join(other.hint("merge"), keys, how)
+    hot = F.broadcast(refs.sparkSession.createDataFrame(found, refs.select(*keys).schema))
     usual = refs.join(hot, keys, "left_anti").join(other.hint("merge"), keys, how)
     crowded = refs.join(hot, keys, "left_semi").join(F.broadcast(other.join(hot, keys, "left_semi")), keys, how)
     return usual.unionByName(crowded)

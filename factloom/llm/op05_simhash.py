@@ -111,8 +111,8 @@ def links(fps: DataFrame, dense: int = DENSE, distance: int = DISTANCE) -> DataF
         raise ValueError("the grid is laid out for 4 differing bits")
     rows = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     # Only cells with company matter; a member of a dense cell is told apart by the count.
-    crowds = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(spread_join(rows, crowds, ["cell"], CELLS * fps.count()), "simhash-cells")
+    crowds = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-crowds")
+    members = stored(spread_join(rows, crowds, ["cell"], CELLS * fps.count(), counts=crowds), "simhash-cells")
     few = members.filter(F.col("n") <= dense).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = lambda x, y: (F.bit_count(x.bitwiseXOR(y)) <= distance) & (x < y)
     pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda y: near(F.col("a"), y))).alias("b"))

@@ -1,18 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries hold the same background text; the one of each class also holds the phrases
-by which its labelled texts differ from the other's. A text is cut into overlapping windows; each is
-compressed with either dictionary, and a window that the toxic one shortens by more bytes than the
-ordinary one looks toxic. The labelled rows tell the odds of each number of bytes; a logistic curve over
-their sum and their largest, fitted on the same rows, calibrates the score: 0.5 is the threshold.
-
-The fit reads at most FIT rows of each class, those with the least hash of their id, and none of more
-than FIT_CHARS characters. A phrase counts once for each pair of neighbours it was met between, so
-copies of a text don't make its words look typical. Only the text is an input of the score.
-
-Edge cases: null or empty texts are one empty window, with a score from the curve; with no labelled row
-of a class the score is the other class's share everywhere; repeated rows score alike; empty tables
-give empty results. Every window of a text counts, whatever its length.
+Two zstandard dictionaries are trained. Both hold what the trainer makes of ordinary texts without telling words; each also holds what
+it makes of its own class's words: those that begin as words of the other class's texts hardly ever do. A text is
+cut into overlapping windows; each is compressed with either dictionary, and the bytes that the toxic one saves
+are compared with several thresholds. How many windows pass each of them, and how many windows there are, go into a
+logistic curve, fitted on the labelled rows: it calibrates the score, and 0.5 is the line.
+
+The fit reads a bounded sample of the labelled rows: of each class at most FIT rows, those with the least hash of their
+id, as whole texts of FIT_CHARS characters together. A beginning counts once for each pair of neighbours it was met
+between, so copies of a text don't make its words look typical. Only the text is an input of the score.
+
+Edge cases: null or empty texts are one empty window, with a score from the curve; with no labelled row of a
+class nothing can be told apart: the score is the other class's share everywhere and `keep_ordinary` keeps all;
+repeated rows score alike, and of labelled rows that share an id the least text is read; empty tables
+give empty results; other columns pass unchanged. Every window of a text counts, whatever its length.
 """
 
 from __future__ import annotations
@@ -24,23 +25,27 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, load, whole
+from .common import arrow_map, free_name, load, whole
 
-FIT, FIT_CHARS = 1500, 100_000
+FIT, FIT_CHARS = 1500, 20_000_000
 FOLDS = 5
 WINDOW, STRIDE = 48, 32
-BACKGROUND = 16384
-PHRASES = 4096
+#: Bytes of the trained dictionaries, and the trainer's length of a match and of a segment.
+BACKGROUND, OWN = (16384, 8, 64), (2048, 6, 16)
 MIN_CONTEXTS, MIN_ODDS, SHARE = 4, 1.5, 0.15
 CANDIDATES = 4000
 LEVEL = 9
-LEAD = 32
-#: Savings of windows are counted from -FLOOR to TOP bytes.
+#: Every window begins as both dictionaries do. Without it zstandard would store a window as it is if little is saved, and
+#: hide the difference.
+LEAD = b"\x01the beginning of both dictionaries\x02"
+#: The compressor never looks up the last bytes of a dictionary: these are none of a text's.
+TAIL = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
+#: Savings of windows are counted from -FLOOR to TOP bytes, and compared with THRESHOLDS.
 FLOOR, TOP = 3, 12
-CLIP = 30.0
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 _WORD = re.compile(r"\w+")
 
 
@@ -86,58 +91,63 @@ def contrasts(texts: dict[int, list[str]]) -> dict[int, list[tuple[float, str]]]
     return out
 
 
+def flat(text: str) -> str:
+    """The whole text, lower-cased, with white space as single spaces."""
+    return f" {' '.join(text.lower().split())} "
+
+
+def trained(samples: list[bytes], size: int, match: int, segment: int) -> bytes:
+    """What zstandard's trainer makes of the samples; the samples themselves where they are too few to train on."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, d=match, k=segment).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def dictionaries(texts: dict[int, list[str]]) -> dict[int, bytes]:
-    """The content of both dictionaries: the shared background, then the class's phrases, the best last (nearest)."""
-    lines = sorted(texts[0], key=lambda t: (len(t), t))
-    background = b" ".join(t.lower().encode()[:384] for t in lines[:: max(1, len(lines) // 512)])[:BACKGROUND]
+    """The content of both dictionaries: the background, of ordinary texts without telling words, then what is the class's own (nearest)."""
+    begins = {k: tuple(g for _, g in rows) for k, rows in contrasts(texts).items()}
+    telling = re.compile("|".join(re.escape(g.strip()) for gs in begins.values() for g in gs) or r"(?!)")
+    plain = (" ".join(w for w in t.lower().split() if not telling.search(w)) for t in texts[0])
+    background = trained([f" {t} ".encode("utf-8", "surrogatepass") for t in plain], *BACKGROUND)
     own: dict[int, bytes] = {}
-    for k, rows in contrasts(texts).items():
-        phrases, size = [], 0
-        for _, w in rows:
-            p = w.encode()
-            if size + len(p) > PHRASES:
-                break
-            phrases.append(p)
-            size += len(p)
-        own[k] = b"".join(reversed(phrases))
+    for k, gs in begins.items():
+        samples = ["".join(f" {w}" for w in _WORD.findall(t.lower()) if f" {w} ".startswith(gs)) for t in texts[k]] if gs else []
+        own[k] = trained([f"{x} ".encode("utf-8", "surrogatepass") for x in samples if x], *OWN) if any(samples) else b""
     # Bytes that no text has fill the shorter one up, so that the background lies equally far in both.
     wide = max(map(len, own.values()))
-    return {k: background + b"\xff" * (wide - len(p)) + p for k, p in own.items()}
+    return {k: LEAD + background + b"\xff" * (wide - len(x)) + x + TAIL for k, x in own.items()}
 
 
 def windows(text: str) -> list[bytes]:
-    raw = text.lower().encode("utf-8", "surrogatepass")
+    raw = flat(text).encode("utf-8", "surrogatepass")
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STRIDE)), STRIDE)]
 
 
 class Scorer:
-    def __init__(self, contents: dict[int, bytes], odds: list[float] | None = None, weights: list[float] | None = None) -> None:
+    def __init__(self, contents: dict[int, bytes], weights: list[float] | None = None) -> None:
         import zstandard
 
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        # A window begins as the background does, which either dictionary holds: without it, zstandard
-        # would store a window as it is if little is saved, and hide the difference.
-        self.lead = contents[0][:LEAD]
         self.press = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress for k, d in contents.items()}
-        self.odds, self.weights = odds, weights
-
-    def savings(self, text: str) -> np.ndarray:
-        """How many windows the toxic dictionary makes shorter than the ordinary one, by -FLOOR to TOP bytes."""
-        a, b, lead = self.press[0], self.press[1], self.lead
-        d = [len(a(lead + w)) - len(b(lead + w)) for w in windows(text)]
-        return np.bincount(np.clip(d, -FLOOR, TOP) + FLOOR, minlength=FLOOR + TOP + 1)
+        self.weights = weights
 
-    def evidence(self, counts: np.ndarray) -> tuple[float, float]:
-        """The sum over windows of the log odds of their savings, and the largest."""
-        odds = np.array(self.odds)
-        return float(np.clip(counts @ odds, -CLIP, CLIP)), float(odds[counts > 0].max())
+    def evidence(self, text: str) -> list[float]:
+        """Logs of how many windows there are, how many the toxic dictionary makes shorter by each threshold, how many longer by FLOOR."""
+        a, b = self.press[0], self.press[1]
+        saved = [len(a(LEAD + w)) - len(b(LEAD + w)) for w in windows(text)]
+        counts = np.bincount(np.clip(saved, -FLOOR, TOP) + FLOOR, minlength=FLOOR + TOP + 1)
+        over = counts[::-1].cumsum()[::-1]
+        return [math.log1p(x) for x in (len(saved), *(over[FLOOR + t] for t in THRESHOLDS), counts[0])]
 
     def score(self, text: str) -> float:
-        w, (total, top) = self.weights, self.evidence(self.savings(text))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * total + w[2] * top))))
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.evidence(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's method; the first is the constant."""
     x = np.column_stack([np.ones(len(x)), x])
     w, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
@@ -152,7 +162,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, int]], share_toxic: float | None = None) -> dict:
-    """A model of (text, label) rows: {contents, odds, weights}, or {prior} if a class has no row.
+    """A model of (text, label) rows: {contents, weights}, or {prior} if a class has no row.
 
     share_toxic is the share of label 1 among all labelled rows, if `rows` hold another.
     """
@@ -161,15 +171,11 @@ def fit(rows: list[tuple[str, int]], share_toxic: float | None = None) -> dict:
         return {"prior": float(bool(texts[1])) if rows else 0.0}
     contents = dictionaries(texts)
     plain = Scorer(contents)
-    counts = {k: np.array([plain.savings(t) for t in texts[k]]) for k in (0, 1)}
-    share = {k: (c.sum(0) + 0.5) / (c.sum() + 0.5 * c.shape[1]) for k, c in counts.items()}
-    plain.odds = np.log(share[1] / share[0]).tolist()
-    x = np.array([plain.evidence(c) for k in (0, 1) for c in counts[k]])
-    y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
-    weights = logistic(x, y)
+    x = np.array([plain.evidence(t) for k in (0, 1) for t in texts[k]])
+    weights = logistic(x, np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])]))
     if share_toxic is not None and 0 < share_toxic < 1:
         weights[0] += math.log(share_toxic / (1 - share_toxic)) - math.log(len(texts[1]) / len(texts[0]))
-    return {"contents": contents, "odds": plain.odds, "weights": weights.tolist()}
+    return {"contents": contents, "weights": weights.tolist()}
 
 
 def held_out(key: Column | str) -> Column:
@@ -177,15 +183,15 @@ def held_out(key: Column | str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """A model of the labelled rows outside the held-out fold; at most FIT rows of each class are read."""
+    """A model of the labelled rows outside the held-out fold; at most FIT rows of each class reach the driver."""
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)").filter(~held_out("k")).distinct()
     picked = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(FIT) for y in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))
-    found = docs.select(F.col(key).alias("k"), whole(text).alias("t")).join(few, "k").filter(F.length("t") <= FIT_CHARS).select("k", "t", "y")
-    got = sorted(found.collect(), key=lambda r: (r["y"], r["k"], r["t"]))
-    toxic = rows.agg(F.avg("y")).first()[0]
     # A key that very many rows share adds one row to the fit.
-    return fit([(r["t"], r["y"]) for i, r in enumerate(got) if i == 0 or (r["k"], r["y"]) != (got[i - 1]["k"], got[i - 1]["y"])], toxic)
+    found = docs.select(F.col(key).alias("k"), whole(text).alias("t")).join(few, "k").groupBy("y", "k").agg(F.min("t").alias("t"))
+    size = F.sum(F.length("t")).over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    got = sorted(found.withColumn("n", size).filter(F.col("n") <= FIT_CHARS).select("t", "y", "k").collect(), key=lambda r: (r["y"], r["k"]))
+    return fit([(r["t"], r["y"]) for r in got], rows.agg(F.avg("y")).first()[0])
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -198,18 +204,21 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicit
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:
-            holder.append(Scorer(model["contents"], model["odds"], model["weights"]))
+            holder.append(Scorer(model["contents"], model["weights"]))
         scores = pa.array([holder[0].score(t) for t in b.column(len(names)).to_pylist()], pa.float64())
         return pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[*names, out])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return arrow_map(docs.withColumn("__t", whole(text)), run, f"{schema}`{out}` double")
+    return arrow_map(docs.withColumn(free_name(docs, "__t"), whole(text)), run, f"{schema}`{out}` double")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows whose text scores 0.5 or more."""
-    rated = scored(docs, train(docs, labels, key, text), text, "__toxicity")
-    return rated.filter("__toxicity < 0.5").drop("__toxicity")
+    """`docs` without the rows whose text scores 0.5 or more; all of them if the labels lack a class."""
+    model = train(docs, labels, key, text)
+    if "prior" in model:
+        return docs
+    score = free_name(docs, "__toxicity")
+    return scored(docs, model, text, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

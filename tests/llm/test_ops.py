@@ -435,13 +435,40 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) >= 0.9 * len(held)
     assert sum(p and not y for p, y in held) <= 0.02 * len(held)
     model = op9.fit([("good words of the day", 0)])
+    assert op9.keep_ordinary(docs, labels.filter("toxic = 1")).count() == docs.count()
+    odd = docs.limit(20).withColumn("__t", F.lit(1)).withColumn("__toxicity", F.lit("x"))
+    assert op9.keep_ordinary(odd, labels.limit(0)).columns == odd.columns
     assert op9.scored(docs.limit(3), model).filter("toxicity = 0").count() == 3
     full = op9.train(docs, labels)
     edge = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 9999)], "doc_id long, text string")
     assert all(0 <= r[0] <= 1 for r in op9.scored(edge, full).select("toxicity").collect())
+    assert op9.scored(odd, full).select("__t", "__toxicity").distinct().collect() == [(1, "x")]
     assert op9.scored(empty(spark), full).count() == 0 and op9.keep_ordinary(empty(spark), labels).count() == 0
 
 
+def test_toxicity_words():
+    """Each telling word is found, the best one too; texts without one are left alone."""
+    import pyarrow.parquet as pq
+
+    plain = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist() if t and 300 < len(t) < 4000][:2400]
+    words = ["zorvex", "quib", "blatherskite", "grumph", "vizzle", "mugwump", "skrel", "nabok"]
+    rng, rows = np.random.default_rng(2), []
+    for i, t in enumerate(plain):
+        own = set() if i % 3 else set(rng.choice(words, 2, replace=False).tolist())
+        ws = t.split(" ")
+        for w in sorted(own):
+            ws.insert(int(rng.integers(0, len(ws))), w + str(rng.choice(["", "ish", "er"])))
+        rows.append((" ".join(ws), int(bool(own)), own))
+    model = op9.fit([(t, y) for t, y, _ in rows[:1600]])
+    scorer = op9.Scorer(model["contents"], model["weights"])
+    got = [(scorer.score(t) >= 0.5, y, own) for t, y, own in rows[1600:]]
+    toxic = [p for p, y, _ in got if y]
+    assert sum(toxic) >= 0.95 * len(toxic) and sum(p for p, y, _ in got if not y) <= 0.03 * sum(not y for _, y, _ in got)
+    for w in words:
+        found = [p for p, _, own in got if w in own]
+        assert sum(found) >= 0.85 * len(found)
+
+
 def test_chat(spark, sf):
     rows = [
         (1, 0, "user", "How do I sort a list of words?\nIt is long."),
