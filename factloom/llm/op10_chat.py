@@ -3,17 +3,22 @@
 Each message is parsed into its own words and quoted passages with their levels ('>' marks, nested).
 Normalised passages are hashed and joined to the messages whose own words they are: the first message of
 the same conversation that wrote the passage before, else the first of any other conversation; passages
-of under MIN_CHARS characters link within their conversation alone. What a message quotes first, at the
-outermost level, it replies to; without a quote it replies to the message before, if there is one.
-The result is one row per message, without quotes, and every message stands after the one it replies to
-when rows are ordered by (conv_id, turn).
+of under MIN_CHARS characters, which many write by chance, link within their conversation alone. What a message
+quotes first, at the outermost level, it replies to; without a quote it replies to the message before, if there is one.
 
-Only hashes and ids are joined; units are pre-aggregated to one row per conversation and hash, so that a
-line everyone writes, or a conversation with a third of all rows, stays one row per key on that side.
+Conversations that reply into one another make a thread: each has at most one that it continues, that of its
+first reply out of it. The result is one row per message, without quotes; ordered by (thread, depth, conversation, turn),
+where depth is how many conversations stand before, a thread reads in reply order. Where conversations reply to one another
+in a circle, only their replies to lesser ids count for thread and depth.
+
+Only hashes and ids are joined; units are pre-aggregated to one row per conversation and hash, and hot hashes are joined by
+broadcast, so that neither a line that everyone writes or quotes nor a conversation with a third of all rows is
+one task.
 
 Edge cases: a null or empty text has no passage and an empty text; a quote whose source isn't found
 is taken out all the same and leaves no link; equal messages link to the first; null conversation ids
-link across conversations alone; empty tables give empty results.
+link across conversations alone, and have no thread; rows that repeat are kept, each; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, load, stored, whole
+from .common import Scratch, arrow_map, load, spread_join, stored, whole
+from .components import components
 
 MIN_CHARS = 8
 _MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
@@ -109,32 +115,71 @@ def _preceded(rows: DataFrame) -> DataFrame:
     return placed.withColumn("before", F.when(F.col("conv").isNotNull(), F.coalesce("lesser", "last"))).drop("part", "lesser", "c", "p", "last")
 
 
+def threads(links: DataFrame) -> DataFrame:
+    """(conv, thread, depth) of the conversations in `links` (conv, after), where a conv stands once and continues another."""
+    scratch = Scratch(links.sparkSession)
+    links = scratch.put(links, "chat-links")
+    total = links.count()
+    if not total:
+        kind = links.schema["conv"].dataType.simpleString()
+        return links.sparkSession.createDataFrame([], f"conv {kind}, thread {kind}, depth int")
+    ends = links.select("conv").union(links.select(F.col("after").alias("conv"))).distinct()
+    roots = components(links.select(F.col("conv").alias("u"), F.col("after").alias("v")), scratch)
+    grouped = ends.join(roots.withColumnRenamed("u", "conv"), "conv", "left").select("conv", F.coalesce("root", "conv").alias("thread"))
+    grouped = scratch.put(grouped.join(links, "conv", "left"), "chat-threads")
+    # Each thread has one conversation that continues none, or else one circle.
+    headed = grouped.filter("after IS NULL").select("thread")
+    steps = grouped.filter("after IS NOT NULL")
+    steps = steps.join(headed.withColumn("headed", F.lit(True)).hint("merge"), "thread", "left").filter("headed OR after < conv")
+    # Ancestors 1, 2, 4 ... steps before, until none has one.
+    now = scratch.put(steps.select("conv", F.col("after").alias("anc"), F.lit(1).alias("hops")), "chat-depth")
+    for _ in range(40):
+        far = now.select(F.col("conv").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
+        step = spread_join(now, far, ["anc"], total, "left")
+        moved = step.select("conv", F.coalesce("next", "anc").alias("anc"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved"))
+        now = scratch.put(moved, "chat-depth")
+        if not now.filter("moved").limit(1).count():
+            depth = now.select("conv", F.col("hops").alias("depth"))
+            return grouped.join(depth.hint("merge"), "conv", "left").select("conv", "thread", F.coalesce("depth", F.lit(0)).alias("depth"))
+    raise RuntimeError("threads of conversations not done after 40 rounds")
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, role, reply_conv, reply_turn, n_quotes, n_linked, text): one row per message, its quotes taken out."""
+    """(conv, turn, role, reply_conv, reply_turn, thread, depth, n_quotes, n_linked, text): one row per message, its quotes taken out."""
+    fixed = {"reply_conv", "reply_turn", "thread", "depth", "n_quotes", "n_linked"}
+    if len(fixed | {conv, turn, role, text}) < 10:
+        raise ValueError(f"names of the result clash: {conv}, {turn}, {role}, {text}")
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = stored(parsed(rows), "chat-messages")
     quotes = rows.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.n", "q.short").distinct()
-    # Only what someone quotes is looked for.
-    wanted = quotes.groupBy("hash").agg(F.first("short").alias("short"))
-    written = rows.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, "hash")
-    first = written.groupBy("conv", "hash").agg(F.min("turn").alias("src_turn"), F.first("short").alias("unfit"))
+    quotes = stored(quotes, "chat-quotes")
+    n_quotes = quotes.count()
+    # Only what someone quotes is looked for; of a conversation's copies of a passage the first.
+    wanted = quotes.groupBy("hash").agg(F.first("short").alias("unfit"))
+    written = rows.select("conv", "turn", F.explode("units").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("src_turn"))
+    n_units = rows.agg(F.sum(F.size("units"))).first()[0] or 0
+    first = stored(spread_join(written, wanted, ["hash"], n_units), "chat-sources")
     # Of each hash the least sources of two conversations: one of them isn't the quoting one.
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("conv", "src_turn"))
-    two = first.filter("NOT unfit").withColumn("rank", rank).filter("rank <= 2")
-    anywhere = two.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("conv", "src_turn"))).alias("any"))
-    near = quotes.join(first.drop("unfit"), ["conv", "hash"], "left")
-    far = near.join(anywhere, "hash", "left")
-    own = F.col("src_turn") < F.col("turn")
-    other = F.get(F.filter("any", lambda s: ~s["conv"].eqNullSafe(F.col("conv"))), F.lit(0))
-    source = F.when(own, F.struct(F.col("conv").alias("c"), F.col("src_turn").alias("t"))).when(other.isNotNull(), F.struct(other["conv"].alias("c"), other["src_turn"].alias("t")))
-    hits = far.select("conv", "turn", "level", "n", "short", source.alias("src")).filter("src.t IS NOT NULL")
+    source = F.struct(F.col("conv").isNull().alias("none"), "conv", "src_turn")
+    least = first.filter("NOT unfit").groupBy("hash").agg(F.min(source).alias("a"))
+    second = spread_join(first.filter("NOT unfit"), least, ["hash"], n_units).filter(~F.col("conv").eqNullSafe(F.col("a.conv"))).groupBy("hash").agg(F.min(source).alias("b"))
+    anywhere = least.join(second, "hash", "left")
+    here = first.filter("conv IS NOT NULL").select("conv", "hash", "src_turn")
+    near = spread_join(quotes.filter("conv IS NOT NULL"), here, ["conv", "hash"], n_quotes, "left").unionByName(quotes.filter("conv IS NULL").withColumn("src_turn", F.lit(None).cast(rows.schema["turn"].dataType)))
+    far = spread_join(near, anywhere, ["hash"], n_quotes, "left")
+    other = F.when(F.col("a").isNotNull() & ~F.col("a.conv").eqNullSafe(F.col("conv")), F.col("a")).otherwise(F.col("b"))
+    place = F.when(F.col("src_turn") < F.col("turn"), F.struct(F.col("conv").alias("c"), F.col("src_turn").alias("t"))).when(other.isNotNull(), F.struct(other["conv"].alias("c"), other["src_turn"].alias("t")))
+    hits = far.select("conv", "turn", "level", "n", "short", place.alias("src")).filter("src.t IS NOT NULL")
     replies = hits.groupBy("conv", "turn").agg(F.min_by("src", F.struct("level", "n", "short", "src")).alias("src"), F.count_distinct("n").alias("n_linked"))
-    n_quotes = F.size(F.array_distinct(F.transform("quotes", lambda q: q["n"])))
-    turns = _preceded(rows).select("conv", "turn", "role", "before", n_quotes.alias("n_quotes"), F.col("own").alias("text"))
+    replies = stored(replies, "chat-replies")
+    away = replies.filter("conv IS NOT NULL AND src.c IS NOT NULL AND src.c <> conv")
+    placed = threads(away.groupBy("conv").agg(F.min_by("src.c", F.struct("turn", "src")).alias("after")))
+    passages = F.size(F.array_distinct(F.transform("quotes", lambda q: q["n"])))
+    turns = _preceded(rows).select("conv", "turn", "role", "before", passages.alias("n_quotes"), F.col("own").alias("text"))
     out = turns.alias("m").join(replies.alias("r"), F.col("m.conv").eqNullSafe(F.col("r.conv")) & F.col("m.turn").eqNullSafe(F.col("r.turn")), "left")
     before = F.col("m.before")
-    return out.select(
-        F.col("m.conv").alias(conv),
+    out = out.select(
+        F.col("m.conv").alias("conv"),
         F.col("m.turn").alias(turn),
         F.col("m.role").alias(role),
         F.coalesce("r.src.c", F.when(before.isNotNull(), F.col("m.conv"))).alias("reply_conv"),
@@ -143,6 +188,9 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.coalesce("r.n_linked", F.lit(0)).cast("int").alias("n_linked"),
         F.col("m.text").alias(text),
     )
+    known = out.filter("conv IS NOT NULL")
+    out = spread_join(known, placed, ["conv"], rows.count(), "left", counts=rows.groupBy("conv").agg(F.count("*").alias("n")).filter("conv IS NOT NULL")).unionByName(out.filter("conv IS NULL"), allowMissingColumns=True)
+    return out.select(F.col("conv").alias(conv), turn, role, "reply_conv", "reply_turn", F.coalesce("thread", "conv").alias("thread"), F.when(F.col("conv").isNotNull(), F.coalesce("depth", F.lit(0))).alias("depth"), "n_quotes", "n_linked", text)
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -533,3 +533,70 @@ def test_secrets_hot_blob(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = op4.findings(docs, op4.update(None, docs)).collect()
     assert len(got) == len(rows) and sum(len(r["spans"]) for r in got) == 1000
+
+
+def slow_links(rows):
+    """What each message replies to, by trying every message: (reply conv, reply turn, n_linked)."""
+    parts = [(c, t, op10.parse(x or "")) for c, t, _, x in rows]
+    wrote = [(c, t, set(op10.units(own))) for c, t, (own, _) in parts]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    out = {}
+    for c, t, (_, passages) in parts:
+        best, linked = [], set()
+        for n, (level, p) in enumerate(passages):
+            for q in {op10.digest(q): q for q in [p, *p.split("\n")]}.values():
+                d = op10.digest(q)
+                if not d:
+                    continue
+                own = [(a, b) for a, b, u in wrote if d in u and a == c and c is not None and b < t]
+                first = min((b for a, b, u in wrote if d in u and a == c), default=None) if c is not None else None
+                other = [(a, min(y for x, y, v in wrote if x == a and d in v)) for a, b, u in wrote if d in u and a != c]
+                if first is not None and first < t and own:
+                    src = (c, first)
+                elif other and not op10.is_short(q):
+                    src = min(other, key=order)
+                else:
+                    continue
+                linked.add(n)
+                best.append((level, n, op10.is_short(q), src[0] is not None, src[0] or 0, src[1], src))
+        before = max((b for a, b, _ in wrote if a == c and c is not None and b < t), default=None)
+        src = min(best, key=lambda x: x[:6])[6] if best else (c, before) if before is not None else (None, None)
+        out[c, t] = (*src, len(linked))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chat_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    lines = ["Why?", "Yes, do.", "The cat sat on the mat", "A longer line of many words here", "Nothing else was said of it", "ok"]
+    rows = []
+    for c in [*range(12), None]:
+        for t in sorted(rng.choice(40, 6, replace=False).tolist()):
+            own = "\n".join(rng.choice(lines, rng.integers(0, 3)))
+            quote = "\n".join(f"{'>' * rng.integers(1, 3)} {x}" for x in rng.choice(lines, rng.integers(0, 3)))
+            rows.append((c, t, "user", f"{quote}\n{own}" if rng.integers(0, 2) else own))
+    got = op10.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["n_linked"]) for r in got} == slow_links(rows) and len(got) == len(rows)
+
+
+def test_chat_threads(spark):
+    links = [(2, 1), (3, 2), (4, 2), (9, 8), (8, 9), (7, 9), (20, 30), (30, 40), *[(100 + i, 99 + i) for i in range(1, 50)], *[(1000 + i, 500) for i in range(300)]]
+    got = {r["conv"]: (r["thread"], r["depth"]) for r in op10.threads(spark.createDataFrame(links, "conv long, after long")).collect()}
+    want = {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 2), 7: (7, 0), 8: (7, 0), 9: (7, 1), 20: (20, 2), 30: (20, 1), 40: (20, 0), 500: (500, 0)}
+    want |= {100 + i: (100, i) for i in range(50)} | {1000 + i: (500, 1) for i in range(300)}
+    assert got == want
+    assert op10.threads(spark.createDataFrame([], "conv long, after long")).count() == 0
+
+
+def test_chat_reply_order(spark, sf):
+    out = op10.op10_chat(spark, sf).collect()
+    place = {(r["conv_id"], r["turn"]): (r["thread"], r["depth"], r["conv_id"], r["turn"]) for r in out}
+    firsts = {}
+    for r in sorted(out, key=lambda r: (r["conv_id"], r["turn"])):
+        if r["reply_conv"] is not None and r["reply_conv"] != r["conv_id"]:
+            firsts.setdefault(r["conv_id"], r)
+        elif r["reply_conv"] is not None:
+            assert place[r["reply_conv"], r["reply_turn"]] < place[r["conv_id"], r["turn"]]
+    for r in firsts.values():
+        source = place[r["reply_conv"], r["reply_turn"]]
+        assert source[0] == place[r["conv_id"], r["turn"]][0]
