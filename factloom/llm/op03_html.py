@@ -2,7 +2,8 @@
 
 The first pass gives each block a label: blocks in page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments: by element, role, class or id) are bad; the others are judged by
-link density, length and the share of stop words, and short ones stay undecided. The second pass gives
+link density, length and the share of stop words, and short ones stay undecided. In an article that the page marks, names count as furniture only where they are plain, and running
+text may hold any number of links. The second pass gives
 every undecided block the label of its nearest decided neighbour (in the article, if the page marks
 one); a tie is good only if both sides are.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, load, whole
+from .common import arrow_map, free_name, load, whole
 
 SHORT, LONG = 70, 200
 LINKS = 0.5
@@ -38,12 +39,18 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text, and those of them that aren't paragraphs or headings.
+TEXT = HEADINGS | {"p", "span"}
+TOLD = frozenset("blockquote dd figcaption pre td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that furniture hints count for, and that are matched with their end tags.
 NESTED = frozenset("article aside body details dialog div dl fieldset figure footer form header li main menu nav ol p section span table tbody td tr ul".split())
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent notice gdpr alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond reader widget login search pagination pager legal copyright skip toolbar teaser".split()
+#: Words of a class or id that mark furniture wherever they stand in it, in names of up to three words ...
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar navbar breadcrumb breadcrumbs cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay share sharing social comment comments commentlist disqus login pagination pager".split()
 )
+#: ... and those that do only outside the article, or as a whole name: an article has headers, notices and sections of its own.
+HINTS = SURE | frozenset("banner nav navigation menu header masthead footer notice alert related recommended recommendations reply replies respond reader widget search legal copyright skip toolbar teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
@@ -53,11 +60,22 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("article", "bad", "heading", "linked", "parts")
+    __slots__ = ("article", "bad", "heading", "linked", "parts", "told")
 
-    def __init__(self, bad: bool, article: bool) -> None:
+    def __init__(self, bad: bool, article: bool, told: bool) -> None:
         self.parts: list[str] = []
-        self.linked, self.bad, self.article, self.heading = 0, bad, article, False
+        self.linked, self.bad, self.article, self.told, self.heading = 0, bad, article, told, False
+
+
+def _marked(name: str, names: str, in_article: bool) -> bool:
+    """Whether a class or an id names furniture."""
+    words = [_PARTS.findall(_CAMEL.sub(" ", x).lower()) for x in names.split()]
+    if not in_article:
+        return any(not HINTS.isdisjoint(w) for w in words)
+    # In the article a paragraph or heading is text unless its whole name says otherwise.
+    if any(len(w) == 1 and w[0] in (SURE if name in TEXT else HINTS) for w in words):
+        return True
+    return name not in TEXT and any(len(w) <= 3 and not SURE.isdisjoint(w) for w in words)
 
 
 def _furniture(name: str, attrs: str, in_article: bool) -> bool:
@@ -68,18 +86,58 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            if name not in ("body", "html", "main", "article") and not HINTS.isdisjoint(_PARTS.findall(_CAMEL.sub(" ", value).lower())):
+            if name not in ("body", "html", "main", "article") and _marked(name, value, in_article):
                 return True
         elif key == "role" and value.lower() in ROLES or key == "style" and _HIDDEN.search(value.lower()) or key == "aria-hidden" and value.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
 
 
+class Open:
+    """The open elements, innermost last; every step is done in the time of what it opens or closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # element, whether it is furniture, whether it is the article
+        self.count: dict[str, int] = {}
+        self.inline = [{"p": 0, "span": 0}]  # those open since the last other element
+        self.bad = self.article = 0
+
+    def push(self, name: str, furniture: bool, article: bool) -> None:
+        self.stack.append((name, furniture, article))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.bad += furniture
+        self.article += article
+        if name in self.inline[-1]:
+            self.inline[-1][name] += 1
+        else:
+            self.inline.append({"p": 0, "span": 0})
+
+    def pop(self) -> str:
+        name, furniture, article = self.stack.pop()
+        self.count[name] -= 1
+        self.bad -= furniture
+        self.article -= article
+        if name in self.inline[-1]:
+            self.inline[-1][name] -= 1
+        else:
+            self.inline.pop()
+        return name
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of that name and all in it; a paragraph or span ends only what no other element parts from it."""
+        if self.inline[-1][name] if name in self.inline[-1] else self.count.get(name):
+            while self.pop() != name:
+                pass
+
+    def end_paragraph(self) -> None:
+        while self.stack and self.stack[-1][0] in self.inline[-1]:
+            self.pop()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with what is needed to label them."""
     out: list[Block] = []
-    opened: list[tuple[str, bool, bool]] = []  # element, whether it is furniture, whether it is the article
-    bad = article = link = 0
+    opened, link, told = Open(), 0, 0
     now: Block | None = None
     breaks = 0
 
@@ -88,7 +146,7 @@ def blocks(page: str) -> list[Block]:
         if not raw or raw.isspace() and now is None:
             return
         if now is None:
-            now = Block(bad > 0, article > 0)
+            now = Block(opened.bad > 0, opened.article > 0, opened.inline[-1]["p"] > 0 or told > 0)
             out.append(now)
         text = _html.unescape(raw)
         now.parts.append(text)
@@ -153,29 +211,21 @@ def blocks(page: str) -> list[Block]:
             now, breaks = None, 0
             if name in ("p", "div", "li", "td", "article", "section"):
                 link = 0
+        if name in TOLD:
+            told = 0 if closing else 1
         if name in NESTED:
             if closing:
-                at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), -1)
-                if at >= 0 and not (name in ("p", "span") and any(x[0] not in ("p", "span") for x in opened[at + 1 :])):
-                    for _, f, a in opened[at:]:
-                        bad -= f
-                        article -= a
-                    del opened[at:]
+                opened.close(name)
             elif not attrs.endswith("/"):
                 if name == "p":  # a paragraph ends the one before it
-                    while opened and opened[-1][0] in ("p", "span"):
-                        _, f, a = opened.pop()
-                        bad -= f
-                        article -= a
-                f, a = _furniture(name, attrs, article > 0), name in ("article", "main")
-                if f or name not in ("p", "span") or a:
-                    opened.append((name, f, a))
-                    bad += f
-                    article += a
+                    opened.end_paragraph()
+                f, a = _furniture(name, attrs, opened.article > 0), name in ("article", "main")
+                if f or name != "span" or a:
+                    opened.push(name, f, a)
                     if f and name == "span":
                         now = None
         if name in HEADINGS and not closing:
-            now = Block(bad > 0, article > 0)
+            now = Block(opened.bad > 0 or _furniture(name, attrs, opened.article > 0), opened.article > 0, True)
             now.heading = True
             out.append(now)
     return out
@@ -191,8 +241,8 @@ def labels(found: list[Block], texts: list[str]) -> list[bool]:
         links = b.linked / len(t)
         words = t.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if links >= LINKS and (len(t) < LONG or stops < STOP_HIGH):
-            first.append(False)
+        if links >= LINKS and (len(t) < LONG or stops < STOP_HIGH) and not (marked and b.told):
+            first.append(False)  # a menu; a paragraph of the article may well be one link
         elif len(t) < SHORT:
             first.append(False if links > 0.2 and not marked else None)
         elif stops >= STOP_HIGH or stops >= STOP_LOW and len(t) >= LONG or marked:
@@ -238,7 +288,7 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFr
         return pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*others, out])
 
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in others)
-    return arrow_map(pages.select(*others, whole(html).alias("__html")), run, f"{schema}`{out}` string")
+    return arrow_map(pages.select(*others, whole(html).alias(free_name(pages, "__html"))), run, f"{schema}`{out}` string")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
