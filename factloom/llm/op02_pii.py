@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust a score.
 
 Native: DataFrame expressions only. Edge cases: a null or empty text has no span and counts of 0;
-repeated rows are handled row by row; an empty table gives an empty result; extra columns of the
-input are kept by `annotate` and `redact`, and a clash with an output name raises a clear error.
+repeated rows are handled row by row; an empty table gives an empty result; extra columns of the input are kept by
+`annotate` and `redact`, whatever their names, but a column pii_spans, which `annotate` adds, raises a clear error.
 """
 
 from __future__ import annotations
@@ -92,9 +92,10 @@ def _wanted(kind: str, text: Column, digit: Column) -> Column:
     return {"email": text.contains("@"), "phone": text.contains("+") & digit}.get(kind, digit)
 
 
-def _stage(docs: DataFrame, text: Column, kinds: tuple[str, ...]) -> DataFrame:
-    """Adds __gaps_k and __hits_k of each kind, each computed once."""
-    df = docs.withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
+def _stage(docs: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(row, __text, and __gaps_k and __hits_k of each kind, each computed once); row holds all columns, whatever their names."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(F.col(f"`{text}`")).alias("__text"))
+    df = df.withColumn("__digit", F.col("__text").rlike("[0-9]"))
     cols = {}
     for k in kinds:
         want = _wanted(k, F.col("__text"), F.col("__digit"))
@@ -126,8 +127,8 @@ def _scored(kind: str) -> Column:
 
 
 def _spans(docs: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
-    """`docs` with __text and pii_spans, the confirmed spans of `kinds`."""
-    df = _stage(docs, whole(text), kinds)
+    """(row, __text, pii_spans): the confirmed spans of `kinds`."""
+    df = _stage(docs, text, kinds)
     df = df.withColumns({f"__spans_{k}": _scored(k) for k in kinds})
     return df.withColumn("pii_spans", F.concat(*[F.col(f"__spans_{k}") for k in kinds]).cast(SPANS))
 
@@ -139,7 +140,7 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     if "pii_spans" in docs.columns:
         raise ValueError("the input already has a column pii_spans")
-    return _spans(docs, text, KINDS).select(*docs.columns, "pii_spans")
+    return _spans(docs, text, KINDS).select("row.*", "pii_spans")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -150,7 +151,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     df = docs
     for kinds in (KINDS, *[(k,) for k in ("email", "iban", "card", "phone", "ssn", "ip")]):
-        df = _spans(df, text, kinds).withColumn(text, _masked(F.col("__text"))).select(*docs.columns)
+        found = _spans(df, text, kinds)
+        df = found.select(*[_masked(F.col("__text")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return df
 
 

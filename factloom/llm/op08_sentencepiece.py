@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept, load, stored, whole
+from .common import arrow_map, free_name, kept, load, stored, whole
 
 SPACE = "▁"
 DICTIONARY = 200_000
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], names=[*names, out])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return arrow_map(docs.withColumn("__t", whole(text)), run, f"{schema}`{out}` array<int>")
+    return arrow_map(docs.withColumn(free_name(docs, "__t"), whole(text)), run, f"{schema}`{out}` array<int>")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

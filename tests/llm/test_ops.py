@@ -600,3 +600,61 @@ def test_chat_reply_order(spark, sf):
     for r in firsts.values():
         source = place[r["reply_conv"], r["reply_turn"]]
         assert source[0] == place[r["conv_id"], r["turn"]][0]
+
+
+def test_html_article_parts():
+    """An article's own headers, sections and links are text; what is around and between is not."""
+    head = '<html><body><div id="site-header">Site of the news</div><nav><a href=/>Home</a></nav>'
+    foot = '<div class="related-links"><a href=/1>One more</a> <a href=/2>and one</a></div><footer>us</footer></body></html>'
+    body = """<article><div class="entry-header"><h1>The title of it</h1></div><section id="search-algorithms"><h2>Search</h2><p>Of the ways to search there are many in the books.</p></section>
+      <p class="related-work">Some of the work that is related to this was done by others.</p><p>See <a href=/x>the page of the other site on this</a></p><p><a href=/y>All of this is a link</a></p>
+      <div class="share-buttons"><a href=/s>Share</a></div><div class="ad-slot">Buy it now</div><p class="advert">Buy the other one of them too.</p><ul class="menu"><li><a href=/m>One</a></li></ul>
+      <div id="readerComments"><p>I like it, and it is the best of all that was here.</p></div><blockquote>It is what it is.</blockquote></article>"""
+    want = ["The title of it", "Search", "Of the ways to search there are many in the books.", "Some of the work that is related to this was done by others.", "See the page of the other site on this", "All of this is a link", "It is what it is."]
+    assert op3.extract(head + body + foot) == "\n".join(want)
+
+
+def test_html_without_article():
+    """Without marked articles, stop words, links and lengths decide, and short blocks follow their neighbours."""
+    long = "This is the text of the page that was written for all of you to read, and it is as long as it has to be for that. "
+    page = f"<body><div><a href=/a>One</a> <a href=/b>Two</a> <a href=/c>Three and more of these</a></div><div>{long * 2}</div><div>Short one.</div><div>{long * 2}</div><ul><li><a href=/1>Link</a></li><li><a href=/2>Link two</a></li></ul><div>zxq wvk plm qrt zzz kkk ppp lll mmm nnn bbb vvv ccc xxx qqq www rrr ttt yyy ggg hhh</div></body>"
+    assert op3.extract(page) == "\n".join([(long * 2).strip(), "Short one.", (long * 2).strip()])
+    assert op3.extract("<div>" + "word of the text " * 100000 + "</div>").count("word") == 100000
+
+
+def test_html_hostile_pages():
+    """Open and stray tags cost time in proportion."""
+    import time
+
+    took = {}
+    for n in (4000, 32000):
+        pages = ["<div>" * n + "</table>" * n, "<p>" + "<div>" * n + "</p>" * n, "<span class=ad>" * n + "</p>" * n, "<td>" * n + "</li>" * n, "<a <b" * n, "<!--" * n, '<p x="' * n]
+        began = time.process_time()
+        for page in pages:
+            op3.extract(page)
+        took[n] = time.process_time() - began
+    assert took[32000] < 30 * took[4000] + 1
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<article><p>The text of one page.</p></article>", "x")] * 3 + [(None, None, None, None), (2, "v", "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, `__html` string")
+    got = sorted(map(tuple, op3.main_text(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "x", "The text of one page.")] * 3 + [(None, None, None, ""), (2, "v", "y", "")], key=str)
+
+
+def test_clashing_columns(spark):
+    """Columns that the operators use inside pass unchanged."""
+    import public_tokenizers
+
+    row = (1, "mail to a@b.org", "one", "two", 3, 4.0, "six")
+    names = "doc_id long, text string, `__text` string, `row` string, `__t` int, `__digit` double, `__spans_ip` string"
+    docs = spark.createDataFrame([row, row, (None,) * 7], names)
+    rest = sorted([row[2:], row[2:], (None,) * 5], key=str)
+    for out in (op2.annotate(docs), op2.redact(docs), op8.encode(docs, public_tokenizers.path("piece_bpe_32k.model")), op9.scored(docs, {"prior": 0.5})):
+        assert sorted((tuple(r)[2:7] for r in out.select(*docs.columns).collect()), key=str) == rest
+    assert sorted(r["text"] or "" for r in op2.redact(docs).collect()) == ["", "mail to [EMAIL]", "mail to [EMAIL]"]
+    chat = spark.createDataFrame([(1, 0, "u", "x", "y")], "conv_id long, turn long, role string, text string, own string")
+    assert op10.linked(chat).count() == 1
+    with pytest.raises(ValueError):
+        op10.linked(chat.withColumnRenamed("role", "thread"), role="thread")
