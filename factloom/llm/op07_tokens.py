@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, kept, load, small_batches, stored, whole
+from .ragged import coded, gathered
 
 END = 2
 SHARD = 1 << 20
@@ -144,19 +145,6 @@ class Encoder:
         return np.add.reduceat(size, heads), ids
 
 
-def coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of lists without an empty one: (where each begins, the number of every entry, the different entries)."""
-    counts, entries = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
-    return np.cumsum(counts) - counts, entries.indices.to_numpy().astype(np.int64), entries.dictionary
-
-
-def gathered(size: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ids, `size` long each, put one after another as `which` says."""
-    begin, n = np.cumsum(size) - size, size[which]
-    ends = np.cumsum(n)
-    return n, ids[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1])]
-
-
 def pack(ids: np.ndarray) -> bytes:
     """The image of a run of ids: magic, number of levels, and of each level its length, bytes, bitmap, ranks."""
     rest, levels = ids.astype(np.uint32), []

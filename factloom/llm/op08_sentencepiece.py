@@ -22,23 +22,31 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, free_name, kept, load, stored, whole
+from .ragged import coded, gathered
 
 SPACE = "▁"
 DICTIONARY = 200_000
 LONGEST = 32
-MEMO = 200_000
+#: Bytes of words and ids that a worker keeps, and what an entry takes besides.
+MEMO_BYTES, ENTRY = 96 << 20, 200
+#: Characters of a word up to which a scan for the best pair costs less than a heap.
+SHORT = 48
 TASKS = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+#: Texts in which more than one space may belong to a word.
+_RUNS = re.compile(f"  |{SPACE}|\\A | \\Z")
 
 
 def read_model(path: str) -> dict:
@@ -136,7 +144,7 @@ class Codec:
     """Ids of whole texts: frequent words by the dictionary from the lattice, the others by the merge rule."""
 
     def __init__(self, model: dict, known: dict[str, bytes]) -> None:
-        self.known, self.memo = known, {}
+        self.known, self.memo, self.room = known, {}, MEMO_BYTES
         self.ids = {p: i for p, i, _ in model["pieces"]}
         self.scores = {p: s for p, _, s in model["pieces"]}
         self.first_byte, self.unknown = model["bytes"], model["unknown"]
@@ -146,8 +154,38 @@ class Codec:
         if self.first_byte is not None:
             for b in range(256):
                 self.raw[self.first_byte + b] = bytes([b])
+        self.width, self.letters = np.array([len(x) for x in self.raw], np.int64), np.frombuffer(b"".join(self.raw), np.uint8)
 
     def fold(self, word: str) -> list[int]:
+        """The merge rule: the best-scored neighbours join, the leftmost of equals."""
+        if len(word) > SHORT:
+            return self.fold_long(word)
+        score, none = self.scores.get, -math.inf
+        parts = list(word)
+        rated = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while rated and (best := max(rated)) > none:
+            i = rated.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del rated[i]
+            if i < len(rated):
+                rated[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                rated[i - 1] = score(parts[i - 1] + parts[i], none)
+        return self.numbers(parts)
+
+    def numbers(self, parts: list[str]) -> list[int]:
+        """The ids of pieces; of characters without one those of their bytes."""
+        out: list[int] = []
+        for part in parts:
+            if part in self.ids:
+                out.append(self.ids[part])
+            elif self.first_byte is None:
+                out.append(self.unknown)
+            else:
+                out += [self.first_byte + b for b in part.encode("utf-8", "surrogatepass")]
+        return out
+
+    def fold_long(self, word: str) -> list[int]:
         """The merge rule with a heap: n log n."""
         n, scores = len(word), self.scores
         nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -171,34 +209,52 @@ class Codec:
             if prev[a] >= 0:
                 offer(prev[a])
             offer(a)
-        out, a = [], 0
+        parts, a = [], 0
         while a < n:
-            part = word[a : end[a]]
-            if part in self.ids:
-                out.append(self.ids[part])
-            elif self.first_byte is None:
-                out.append(self.unknown)
-            else:
-                out += [self.first_byte + b for b in part.encode("utf-8", "surrogatepass")]
+            parts.append(word[a : end[a]])
             a = nxt[a]
-        return out
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = self.memo[word] = np.array(self.fold(word), "<u4").tobytes()
+        return self.numbers(parts)
+
+    def word(self, word: str) -> bytes:
+        """A word's ids, from the dictionary of the lattice or else by the merge rule."""
+        got = self.known.get(word) or self.memo.get(word)
+        if got is None:
+            got = np.array(self.fold(word), "<u4").tobytes()
+            if self.room > 0:  # words that are met early are the frequent ones
+                self.memo[word] = got
+                self.room -= ENTRY + len(word) + len(got)
         return got
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        known, memo = self.known.get, self.memo.get
-        return np.frombuffer(b"".join([known(w) or memo(w) or self.__missing__(w) for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))]), "<u4")
+        return np.frombuffer(b"".join(map(self.word, _WORDS.findall(SPACE + text.replace(" ", SPACE)))), "<u4")
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each text has, the ids of all of them): each different word of the batch is looked up once."""
+        odd = np.array([not (t := x.as_py()) or bool(_RUNS.search(t)) for x in texts], bool)
+        usual = texts.filter(pa.array(~odd))
+        sizes, ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+        if len(usual):
+            heads, which, words = coded(pc.split_pattern(usual, " "))
+            raw = [self.word(w) if "\n" not in w else b"".join(map(self.word, _WORDS.findall(w))) for w in (SPACE + x for x in words.to_numpy(zero_copy_only=False).tolist())]
+            n, ids = gathered(np.array([len(x) for x in raw], np.int64) // 4, np.frombuffer(b"".join(raw), "<u4"), which)
+            sizes = np.add.reduceat(n, heads)
+        if not odd.any():
+            return sizes, ids
+        parts, own = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []), iter([self.encode(t) for t in texts.filter(pa.array(odd)).to_pylist()])
+        every = [next(own) if x else next(parts) for x in odd.tolist()]
+        return np.array([len(x) for x in every], np.int64), np.concatenate(every)
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = self.raw
-        line = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return line[1:] if line[:1] == " " else line
+        return self.decode_all(np.array([len(ids)]), ids)[0].decode("utf-8", "replace")
+
+    def decode_all(self, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The UTF-8 bytes of each text."""
+        n, raw = gathered(self.width, self.letters, ids)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        line = raw.tobytes()
+        return [line[a + (line[a : a + 1] == b" " and a < b) : b] for a, b in zip(ends, ends[1:])]
 
 
 def codec_parts(docs: DataFrame, model_path: str, text: str) -> tuple[dict, dict[str, bytes]]:
@@ -216,11 +272,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     names = docs.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        codec = kept(token, lambda: Codec(*shared.value))
-        parts = [codec.encode(t) for t in b.column(len(names)).to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], names=[*names, out])
+        sizes, ids = kept(token, lambda: Codec(*shared.value)).encode_all(b.column(len(names)))
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], names=[*names, out])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
     return arrow_map(docs.withColumn(free_name(docs, "__t"), whole(text)), run, f"{schema}`{out}` array<int>")
@@ -237,10 +291,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         codec = kept(token, lambda: Codec(*shared.value))
         rows: list[list] = [[], [], [], []]
-        for t in b.column(1).to_pylist():
-            ids = codec.encode(t)
-            raw = ids.astype("<u4").tobytes()
-            for c, v in zip(rows, (len(ids), zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), codec.decode(ids) == t)):
+        sizes, ids = codec.encode_all(b.column(1))
+        every, at = memoryview(ids.astype("<u4").tobytes()), 0
+        for t, n, back in zip(b.column(1).cast(pa.binary()), sizes.tolist(), codec.decode_all(sizes, ids)):
+            raw, at = every[4 * at : 4 * (at + n)], at + n
+            for c, v in zip(rows, (n, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), back == t.as_py())):
                 c.append(v)
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(rows, types)]], names=["doc_id", "n_tokens", "ids_crc32", "ids_sha256", "round_trip"])

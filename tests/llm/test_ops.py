@@ -403,6 +403,14 @@ def test_sentencepiece(spark, docs, rows):
     assert found == {w: codec.fold(w) for w in found} and len(found) == 6
     for t in ("a  b\n\n c", "🙂 ü", " lead", "▁"):
         assert codec.decode(codec.encode(t)) == t.replace("▁", " ") and codec.encode(t).tolist() == sp.encode(t)
+    rng = np.random.default_rng(6)
+    odd = ["".join(rng.choice([*"abcthe  \n.,é🙂▁", " the", "ing", "  "], rng.integers(0, 20))) for _ in range(3000)] + ["ab" * 400, "x" * 49 + " y"]
+    import pyarrow as pa
+
+    sizes, ids = codec.encode_all(pa.array(odd))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == sp.encode(odd)
+    assert [x.decode() for x in codec.decode_all(sizes, ids)] == [t.replace("▁", " ") for t in odd]
+    assert all(codec.fold(w) == codec.fold_long(w) for t in odd for w in op8._WORDS.findall("▁" + t.replace(" ", "▁")))
     assert op8.encode(empty(spark), path).count() == 0
 
 
