@@ -97,6 +97,38 @@ def ecosystems(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ECOSYSTEMS, "ecosystem string, lockfiles array<string>, implies string, pins string")
 
 
+# Configuration files and dependencies that tell a project's language.
+LANGUAGE_CONFIGS = {"javascript": ("jsconfig.json",), "typescript": ("tsconfig.json",)}
+LANGUAGE_DEPENDENCIES = {"typescript": ("typescript",)}
+# Extensions that a language takes besides its own where a project uses it, and the language it stands before.
+OVERLAY_EXTENSIONS = {"typescript": ("js", "jsx", "mjs", "cjs")}
+SUPERSEDES = {"typescript": ("javascript",)}
+# What the source of a language can hold.
+LANGUAGE_FACETS = {
+    "component-host": ("javascript", "svelte", "typescript", "vue"),
+    "structured-code": ("c", "cpp", "csharp", "go", "java", "javascript", "kotlin", "php", "python", "ruby", "rust", "scala", "shell", "svelte", "swift", "typescript", "vue", "zig"),
+    "style-host": ("css", "html", "javascript", "less", "scss", "svelte", "typescript", "vue"),
+}
+# Packages and configuration files of web sites and desktop applications.
+WEB_PACKAGES = ("vite", "next", "astro", "@sveltejs/kit", "parcel")
+WEB_CONFIGS = ("vite.config.ts", "vite.config.js", "next.config.ts", "next.config.js", "astro.config.ts", "astro.config.mjs", "svelte.config.js")
+TAURI_CONFIGS = ("tauri.conf.json", "tauri.conf.json5")
+# Facet and what a project with it makes; profile, dependencies and words of scripts that make it.
+FACET_ARTIFACTS = (("static-site", "site"), ("tauri", "tauri"))
+PACKAGE_ARTIFACTS = (("binary", (), ("bun build --compile",)), ("napi", ("@napi-rs/cli",), ("napi build",)))
+# How lines begin that make a file hold tests, in the order they are tried; then words of imports.
+INLINE_TESTS = {
+    "rust": (("#[cfg(test)]", "#[cfg(test)]"), ("#[test]", "#[test]"), ("mod tests", "mod tests")),
+    "javascript": (("describe(", "describe"), ("describe.", "describe"), ("it(", "it"), ("it.", "it"), ("test(", "test"), ("test.", "test")),
+}
+TEST_IMPORTS = ('from "vitest"', "from 'vitest'", "@jest/globals", "node:test")
+
+
+def language_facets(spark: SparkSession) -> DataFrame:
+    """(language, facet)."""
+    return spark.createDataFrame([(lang, f) for f, ls in LANGUAGE_FACETS.items() for lang in ls], "language string, facet string")
+
+
 @dataclass(frozen=True)
 class Command:
     """What a tool's command line must look like, and what it then does."""

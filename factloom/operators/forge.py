@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from .. import dimensions
+from ..shared import cut
 from .classify import normalize_invocation, script_kind
 from .idioms import ancestors
 
-CHANGES = ("push", "pull_request", "pull_request_target", "merge_group")
+#: Triggers by which a workflow runs on changes.
+CHANGES = ("push", "pull_request")
 MAX_DEPTH = 8
 SEPARATORS = ("&&", "||", ";", "|")
-STEP = "path string, triggers array<string>, job string, job_name string, job_order int, step int, name string, uses string, run string, workdir string, shell string, error string"
+_PAIRS = "array<struct<name:string,value:string>>"
+STEP = (
+    "path string, triggers array<string>, path_filters boolean, job string, job_name string, job_order int, condition string, needs array<string>, has_outputs boolean, job_continues boolean, timeout string, job_uses string, "
+    f"step int, name string, uses string, run string, workdir string, shell string, step_condition string, step_continues boolean, inputs {_PAIRS}, env {_PAIRS}, error string"
+)
 
 
 def _loader():
@@ -53,6 +59,30 @@ def triggers(value: object) -> list[str]:
     return sorted({x for x in (value.keys() if isinstance(value, dict) else value if isinstance(value, list) else []) if isinstance(x, str)})
 
 
+def text_only(value: object) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def is_true(value: object) -> bool:
+    """A true boolean, or its word in any case."""
+    return value is True or isinstance(value, str) and value.strip().lower() == "true"
+
+
+def has_values(value: object) -> bool:
+    """Whether a field says anything: numbers do, empty text, lists and mappings don't."""
+    return bool(value) or isinstance(value, int | float) and not isinstance(value, bool)
+
+
+def string_set(value: object) -> list[str]:
+    return [value] if isinstance(value, str) else sorted({x for x in value if isinstance(x, str)}) if isinstance(value, list) else []
+
+
+def path_filters(on: object) -> bool:
+    """Whether pull requests trigger by path."""
+    pull = on.get("pull_request") if isinstance(on, dict) else None
+    return isinstance(pull, dict) and any(has_values(pull.get(k)) for k in ("paths", "paths-ignore"))
+
+
 def workdir(*candidates: object) -> str:
     """The first usable of step and job settings: relative, inside, not computed."""
     for c in candidates:
@@ -61,13 +91,44 @@ def workdir(*candidates: object) -> str:
     return ""
 
 
-def _default(doc: dict) -> object:
-    return (((doc.get("defaults") or {}).get("run")) or {}).get("working-directory")
+def _default(job: dict) -> object:
+    run = (job.get("defaults") if isinstance(job.get("defaults"), dict) else {}).get("run")
+    return run.get("working-directory") if isinstance(run, dict) else None
+
+
+def _pairs(value: object) -> list[tuple[str, str]]:
+    return [(k, scalar_text(v)) for k, v in value.items() if isinstance(k, str) and scalar_text(v) is not None] if isinstance(value, dict) else []
+
+
+def _workflow_rows(path: str, doc: dict) -> list[dict]:
+    """A row a step, or a job without steps, or a workflow without jobs."""
+    on = doc.get("on")
+    head = {"path": path, "triggers": triggers(on), "path_filters": path_filters(on)}
+    rows, jobs = [], doc.get("jobs")
+    for j, (job, spec) in enumerate((jobs if isinstance(jobs, dict) else {}).items()):
+        if not isinstance(job, str) or not isinstance(spec, dict):
+            continue
+        about = head | {
+            "job": job, "job_name": text_only(spec.get("name")), "job_order": j, "condition": scalar_text(spec.get("if")), "needs": string_set(spec.get("needs")), "has_outputs": has_values(spec.get("outputs")),
+            "job_continues": is_true(spec.get("continue-on-error")), "timeout": scalar_text(spec.get("timeout-minutes")), "job_uses": text_only(spec.get("uses")),
+        }
+        listed = spec.get("steps") if isinstance(spec.get("steps"), list) else []
+        made = [
+            about | {
+                "step": i, "name": text_only(s.get("name")), "uses": text_only(s.get("uses")), "run": text_only(s.get("run")), "workdir": workdir(s.get("working-directory"), _default(spec)), "shell": scalar_text(s.get("shell")),
+                "step_condition": text_only(s.get("if")), "step_continues": is_true(s.get("continue-on-error")), "inputs": _pairs(s.get("with")), "env": _pairs(s.get("env")),
+            }
+            for i, s in enumerate(listed)
+            if isinstance(s, dict)
+        ]
+        rows += made or [about]
+    return rows or [head]
 
 
 def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     load = _loader()
     names = [x.split()[0] for x in STEP.split(", ")]
+    lists = {"triggers", "needs", "inputs", "env"}
     for b in batches:
         rows = []
         for path, text in zip(b["path"], b["text"]):
@@ -75,17 +136,10 @@ def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 doc = load(text)
                 if not isinstance(doc, dict):
                     raise ValueError("not a mapping")
-                on, jobs = triggers(doc.get("on")), doc.get("jobs")
-                made = []
-                for j, (job, spec) in enumerate((jobs if isinstance(jobs, dict) else {}).items()):
-                    spec = spec if isinstance(spec, dict) else {}
-                    for i, s in enumerate(spec.get("steps") or []):
-                        if isinstance(s, dict):
-                            made.append([path, on, str(job), scalar_text(spec.get("name")), j, i, scalar_text(s.get("name")), scalar_text(s.get("uses")), scalar_text(s.get("run")), workdir(s.get("working-directory"), _default(spec), _default(doc)), scalar_text(s.get("shell")), None])
-                rows += made or [[path, on, None, None, 0, 0, None, None, None, "", None, None]]
+                rows += _workflow_rows(path, doc)
             except Exception as e:  # a broken file is a row
-                rows.append([path, [], None, None, 0, 0, None, None, None, "", None, str(e)[:200]])
-        yield pd.DataFrame(rows, columns=names)
+                rows.append({"path": path, "error": str(e)[:200]})
+        yield pd.DataFrame([[r.get(n, [] if n in lists else None) for n in names] for r in rows], columns=names).astype({"step": "Int64", "job_order": "Int64"})
 
 
 def is_workflow(path: Column) -> Column:
@@ -102,9 +156,9 @@ def runs_on_changes(on: Column) -> Column:
 
 
 def pull_request_jobs(steps_: DataFrame) -> DataFrame:
-    """(path, job): names that pull requests show, without computed ones."""
+    """(path, job): names that pull requests show, without computed ones and jobs with outputs."""
     named = F.coalesce("job_name", "job")
-    return steps_.filter(F.array_contains("triggers", "pull_request") & F.col("job").isNotNull() & ~named.contains("${{")).select("path", named.alias("job")).distinct()
+    return steps_.filter(F.array_contains("triggers", "pull_request") & F.col("job").isNotNull() & ~F.col("has_outputs") & ~named.contains("${{")).select("path", named.alias("job")).distinct()
 
 
 def segments(script: str | None) -> list[list[str]]:
@@ -126,7 +180,7 @@ def segments(script: str | None) -> list[list[str]]:
     return out
 
 
-_segments = F.udf(segments, ArrayType(ArrayType(StringType())))
+_segments = F.udf(segments, ArrayType(ArrayType(StringType())), useArrow=True)
 
 
 def commands(rows: DataFrame, script: str = "run") -> DataFrame:
@@ -155,10 +209,10 @@ def expand_scripts(cmds: DataFrame, scripts: DataFrame) -> DataFrame:
     scripts: (root, name, command). Levels 0 to MAX_DEPTH run; a script that is already on the way isn't entered again.
     """
     runner = F.col("program").isin("npm", "pnpm", "yarn", "bun")
-    skip = F.when(F.get("arguments", F.lit(0)).isin("run", "run-script"), 2).otherwise(1)
+    skip = F.when((F.get("arguments", F.lit(0)) == "run") & (F.size("arguments") > 1), 2).otherwise(1)
     name = F.get("arguments", skip - 1)
     roots = scripts.select("root").distinct()
-    level = cmds.withColumn("depth", F.lit(0)).withColumn("seen", F.array().cast("array<string>"))
+    level = cut(cmds, "commands").withColumn("depth", F.lit(0)).withColumn("seen", F.array().cast("array<string>"))
     out = level
     for depth in range(1, MAX_DEPTH + 1):
         calls = level.filter(runner).withColumn("__name", name).filter("__name IS NOT NULL")
@@ -167,10 +221,12 @@ def expand_scripts(cmds: DataFrame, scripts: DataFrame) -> DataFrame:
         found = near.join(scripts.select("root", F.col("name").alias("__name"), "command"), ["root", "__name"])
         mark = F.concat_ws("\0", "root", "__name")
         fresh = found.withColumn("__mark", mark).filter(~F.array_contains("seen", F.col("__mark")))
-        rest = F.filter(F.slice("arguments", skip + 1, F.greatest(F.size("arguments") - skip, F.lit(0))), lambda a: a != "--")
+        rest = F.slice("arguments", skip + 1, F.greatest(F.size("arguments") - skip, F.lit(0)))
+        # Of what is handed on, a first -- only tells where it begins.
+        rest = F.when(F.get(rest, F.lit(0)) == "--", F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
         text = F.concat_ws(" ", "command", F.array_join(rest, " "))
         base = fresh.select(*[c for c in cmds.columns if c not in ("workdir", "program", "arguments", "segment")], F.col("root").alias("workdir"), F.trim(text).alias("__script"), F.array_append("seen", F.col("__mark")).alias("seen"))
-        level = commands(base, "__script").drop("__script").withColumn("depth", F.lit(depth)).select(*out.columns).persist()
+        level = cut(commands(base, "__script").drop("__script").withColumn("depth", F.lit(depth)).select(*out.columns), "scripts")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -214,10 +270,12 @@ def _updates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def dependency_updates(contents: DataFrame) -> DataFrame:
-    """Update settings of `.github/dependabot.yaml` or `.yml`, the first by name."""
+    """Update settings of `.github/dependabot.yaml` or `.yml`, the first by name; a row with an error if both are there."""
     own = contents.filter(F.col("path").rlike(r"^\.github/dependabot\.ya?ml$"))
-    first = own.agg(F.min_by(F.struct("path", "text"), "path").alias("f")).filter("f IS NOT NULL").select("f.*")
-    return first.mapInPandas(_updates, UPDATE)
+    first = own.agg(F.min_by(F.struct("path", "text"), "path").alias("f"), F.count("*").alias("n")).filter("f IS NOT NULL")
+    none = [F.lit(None).cast("string").alias("ecosystem"), F.array().cast("array<string>").alias("directories"), F.lit(None).cast("string").alias("interval")]
+    both = first.filter("n > 1").select("f.path", *none, F.lit("two configuration files, of which the first is read").alias("error"))
+    return first.select("f.*").mapInPandas(_updates, UPDATE).unionByName(both)
 
 
 def is_gating_ruleset(enforcement: Column, target: Column, rules: Column) -> Column:

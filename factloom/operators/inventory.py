@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dimensions
+from ..shared import cut
 from ..sources.tree import glob_regex
 from .classify import basename, detect_language, parent
 from .idioms import nearest_owner
@@ -147,27 +148,70 @@ def resolve_ecosystems(pkgs: DataFrame, files: DataFrame) -> tuple[DataFrame, Da
     return out.drop("found"), diagnostics
 
 
-def resolve_workspaces(pkgs: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: package id, workspace root; diagnostics). Globs of a workspace meet the packages under it, by an equi-join on ancestors."""
-    from .idioms import ancestors
+def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import yaml
 
-    to_regex = F.udf(lambda g: _regex(g), "string")  # one call a pattern, not a row of data
-    specs = parsed.filter("is_workspace AND error IS NULL").select(F.when(F.col("kind").startswith("cargo"), "cargo").otherwise("node").alias("kind"), F.col("root").alias("ws"), "members", "excluded")
-    rx = specs.select("kind", "ws", F.array_distinct(F.array_compact("members")).alias("m"), "excluded")
+    for b in batches:
+        rows = []
+        for path, text in zip(b["path"], b["text"]):
+            root = path.rsplit("/", 1)[0] if "/" in path else ""
+            try:
+                doc = yaml.safe_load(text)
+                listed = doc.get("packages") if isinstance(doc, dict) else None
+                globs = [g for g in listed if isinstance(g, str)] if isinstance(listed, list) else []
+                rows.append([root, path, [g for g in globs if not g.startswith("!")], [g[1:] for g in globs if g.startswith("!")], None])
+            except Exception as e:  # a broken file is a row
+                rows.append([root, path, [], [], str(e)[:200]])
+        yield pd.DataFrame(rows, columns=["root", "path", "members", "excluded", "error"])
+
+
+def pnpm_workspaces(contents: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(root, path, members, excluded, error): pattern files that stand beside a readable package.json."""
+    beside = parsed.filter("kind = 'node' AND error IS NULL").select("root")
+    own = contents.filter(basename(F.col("path")) == "pnpm-workspace.yaml").withColumn("root", parent(F.col("path"))).join(beside, "root", "left_semi")
+    return own.select("path", "text").mapInPandas(_patterns, "root string, path string, members array<string>, excluded array<string>, error string")
+
+
+def workspace_specs(parsed: DataFrame, pnpm: DataFrame | None = None) -> DataFrame:
+    """(kind, ws, path, members, excluded): a row a workspace root, the patterns of all its files together."""
+    specs = parsed.filter("is_workspace AND error IS NULL").select(F.when(F.col("kind").startswith("cargo"), "cargo").otherwise("node").alias("kind"), F.col("root").alias("ws"), "path", "members", "excluded")
+    if pnpm is not None:
+        specs = specs.unionByName(pnpm.filter("error IS NULL").select(F.lit("node").alias("kind"), F.col("root").alias("ws"), "path", "members", "excluded"))
+    every = lambda c: F.array_distinct(F.array_compact(F.flatten(F.collect_list(c)))).alias(c)
+    return specs.groupBy("kind", "ws").agg(F.min("path").alias("path"), every("members"), every("excluded"))
+
+
+def resolve_workspaces(pkgs: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: package id, workspace root; diagnostics).
+
+    A package that names its workspace belongs to it alone; the others meet the globs of the workspaces over them, by an
+    equi-join on ancestors, and the deepest wins.
+    """
+    from .idioms import ancestors, normalize_relative
+
+    to_regex = F.udf(_regex, "string", useArrow=True)  # one call a pattern, not a row of data
+    rx = specs.select("kind", "ws", F.col("members").alias("m"), "excluded")
     inc = rx.select("kind", "ws", F.explode("m").alias("glob")).withColumn("rx", to_regex("glob"))
     exc = rx.select("kind", "ws", F.explode("excluded").alias("glob")).withColumn("rx", to_regex("glob")).filter("rx IS NOT NULL")
+    says = F.when(F.col("kind") == "cargo", F.col("workspace"))
+    named = pkgs.filter(says.isNotNull()).select("id", "path", normalize_relative(F.col("root"), F.col("workspace")).alias("ws"))
+    there = specs.filter("kind = 'cargo'").select("ws", F.lit(True).alias("found"))
+    named = named.join(F.broadcast(there), "ws", "left")
+    free = pkgs.filter(says.isNull())
     under = pkgs.select("id", "kind", "root", F.explode(ancestors(F.col("root"))).alias("a")).select("id", "kind", "root", F.col("a.root").alias("ws"), F.col("a.depth").alias("depth"))
     own = F.when(F.col("ws") == "", F.col("root")).otherwise(F.substring("root", F.length("ws") + 2, F.lit(1 << 20)))
     near = under.withColumn("rel", own)
-    hit = near.join(inc, ["kind", "ws"]).filter(F.expr("rel RLIKE rx"))
+    hit = near.join(inc, ["kind", "ws"]).filter(F.expr("rel <> '' AND rel RLIKE rx"))
     out = near.join(exc, ["kind", "ws"]).filter(F.expr("rel RLIKE rx")).select("id", "ws").distinct()
     root_member = near.join(specs.select("kind", "ws"), ["kind", "ws"]).filter("rel = ''").select("id", "ws", "depth")
-    members = hit.join(out, ["id", "ws"], "left_anti").select("id", "ws", "depth").unionByName(root_member)
+    members = hit.join(out, ["id", "ws"], "left_anti").select("id", "ws", "depth").unionByName(root_member).join(free.select("id"), "id", "left_semi")
     best = members.groupBy("id").agg(F.max_by("ws", F.struct("depth", "ws")).alias("workspace_root"))
-    bad = inc.filter("rx IS NULL").select(F.lit("workspace").alias("kind"), F.col("ws").alias("path"), F.concat(F.lit("bad pattern: "), "glob").alias("message"))
+    best = best.unionByName(named.filter("found").select("id", F.col("ws").alias("workspace_root")))
+    note = lambda df, path, text: df.select(F.lit("workspace").alias("kind"), F.col(path).alias("path"), text.alias("message"))
+    bad = note(inc.filter("rx IS NULL"), "ws", F.concat(F.lit("bad pattern: "), "glob"))
     idle = inc.filter("rx IS NOT NULL").join(hit.select("kind", "ws", "glob").distinct(), ["kind", "ws", "glob"], "left_anti")
-    idle = idle.select(F.lit("workspace").alias("kind"), F.col("ws").alias("path"), F.concat(F.lit("no package matches "), "glob").alias("message"))
-    return best, bad.unionByName(idle)
+    lost = note(named.filter("found IS NULL"), "path", F.concat(F.lit("no workspace at "), "ws"))
+    return best, bad.unionByName(note(idle, "ws", F.concat(F.lit("no package matches "), "glob"))).unionByName(lost)
 
 
 def _regex(glob: str) -> str | None:
@@ -200,45 +244,107 @@ def assign_files(files: DataFrame, pkgs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).filter("package IS NOT NULL")
 
 
+def _locks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import tomllib
+
+    for b in batches:
+        rows = []
+        for path, text in zip(b["path"], b["text"]):
+            try:
+                listed = tomllib.loads(text if text is not None else "\0").get("package") or []
+                rows += [[path, p["name"], p["version"], p.get("source"), p.get("checksum"), None] for p in listed] or [[path, None, None, None, None, None]]
+            except Exception as e:  # a broken lockfile is a row
+                rows.append([path, None, None, None, None, str(e)[:200]])
+        yield pd.DataFrame(rows, columns=["lockfile", "name", "version", "source", "checksum", "error"])
+
+
+def resolutions(pkgs: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ecosystem, lockfile, name, version, source, checksum) of every package that the lockfiles of cargo packages list; diagnostics."""
+    wanted = pkgs.filter("kind = 'cargo' AND lockfile IS NOT NULL").select(F.col("lockfile").alias("path")).distinct()
+    rows = contents.join(F.broadcast(wanted), "path", "left_semi").select("path", "text").mapInPandas(_locks, "lockfile string, name string, version string, source string, checksum string, error string")
+    found = rows.filter("name IS NOT NULL").select(F.lit("cargo").alias("ecosystem"), "lockfile", "name", "version", "source", "checksum")
+    return found, rows.filter("error IS NOT NULL").select(F.lit("metadata").alias("kind"), F.col("lockfile").alias("path"), F.col("error").alias("message"))
+
+
+def detected_projects(files: DataFrame, pkgs: DataFrame) -> DataFrame:
+    """(package, language, e): languages that a configuration file in a package's root, or a declared dependency, tells."""
+    spark = pkgs.sparkSession
+    configs = F.broadcast(spark.createDataFrame([(lang, f, i) for lang, fs in dimensions.LANGUAGE_CONFIGS.items() for i, f in enumerate(fs)], "language string, name string, rank int"))
+    named = F.broadcast(spark.createDataFrame([(lang, n) for lang, ns in dimensions.LANGUAGE_DEPENDENCIES.items() for n in ns], "language string, name string"))
+    here = files.select(parent(F.col("path")).alias("root"), basename(F.col("path")).alias("name"), F.col("path").alias("e")).join(configs, "name")
+    by_file = pkgs.select(F.col("id").alias("package"), "root").join(here, "root").groupBy("package", "language").agg(F.min_by("e", "rank").alias("e"))
+    uses = pkgs.select(F.col("id").alias("package"), F.col("path").alias("manifest"), F.explode("dependencies").alias("d")).select("package", "manifest", F.col("d.name").alias("name"))
+    by_name = uses.join(named, "name").select("package", "language", F.col("manifest").alias("e")).distinct()
+    return by_file.unionByName(by_name.join(by_file.select("package", "language"), ["package", "language"], "left_anti"))
+
+
+SOURCE_ROLES = ("programming", "markup", "stylesheet")
+
+
 def package_languages(files: DataFrame, owners: DataFrame, pkgs: DataFrame) -> DataFrame:
-    """(package, language, evidence): from the files it owns and from what its ecosystem implies."""
+    """(package, language, evidence): from the files it owns, from what its ecosystem implies, from configuration and dependencies."""
     spark = pkgs.sparkSession
-    known = files.filter(F.col("role").isin("programming", "markup", "stylesheet")).select("path", "language")
+    known = files.filter(F.col("role").isin(*SOURCE_ROLES)).select("path", "language")
     owned = owners.join(known, "path").select("package", "language", F.col("path").alias("e"))
     implied = F.broadcast(dimensions.ecosystems(spark).select("ecosystem", F.col("implies").alias("language")))
     said = pkgs.select(F.col("id").alias("package"), F.col("path").alias("e"), F.explode("ecosystems").alias("ecosystem")).join(implied, "ecosystem").select("package", "language", "e")
-    return owned.unionByName(said).groupBy("package", "language").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
-
-
-def artifacts(files: DataFrame, pkgs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(profile, root, evidence): what packages make, by sources, declared binaries and configuration; evidence merged."""
-    tauri = files.filter(basename(F.col("path")) == "tauri.conf.json").select(parent(F.col("path")).alias("root"), F.col("path").alias("e"))
-    cargo = pkgs.filter("kind = 'cargo'").select(F.col("id").alias("package"), "root", F.col("path").alias("manifest"), "bins")
-    rel = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.lit(1 << 20)))
-    source = owners.join(cargo, "package").withColumn("rel", rel).filter(F.col("rel").rlike(r"^src/(main|bin/.*)\.rs$"))
-    source = source.join(tauri.select("root"), "root", "left_anti").select(F.lit("binary").alias("profile"), "root", F.col("path").alias("e"))
-    declared = cargo.filter(F.size("bins") > 0).select(F.lit("binary").alias("profile"), "root", F.col("manifest").alias("e"))
-    desktop = tauri.select(F.lit("tauri").alias("profile"), F.when(basename(F.col("root")) == "src-tauri", parent(F.col("root"))).otherwise(F.col("root")).alias("root"), "e")
-    node = pkgs.filter("kind = 'node'")
-    has = lambda *names: F.exists("dependencies", lambda d: d["name"].isin(*names))
-    says = lambda word: F.exists("scripts", lambda s: s["command"].contains(word))
-    site = node.filter(has("astro", "vite", "next", "gatsby") & F.exists("scripts", lambda s: s["name"] == "build")).select(F.lit("site").alias("profile"), "root", F.col("path").alias("e"))
-    napi = node.filter(has("@napi-rs/cli") | says("napi build")).select(F.lit("napi").alias("profile"), "root", F.col("path").alias("e"))
-    compiled = node.filter(says("bun build --compile")).select(F.lit("binary").alias("profile"), "root", F.col("path").alias("e"))
-    every = source
-    for x in (declared, desktop, site, napi, compiled):
+    every = owned.unionByName(said).unionByName(detected_projects(files, pkgs))
+    return every.groupBy("package", "language").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
+
+
+def projects(files: DataFrame, pkgs: DataFrame, workspaces: DataFrame, languages: DataFrame) -> DataFrame:
+    """(root, packages, languages, ecosystems, facets, evidence).
+
+    Roots are those of packages and workspaces and the folders of language configuration, and the top where a source file has
+    no other. Each source file belongs to the nearest root; a package's languages count where its own root is nearest.
+    """
+    text = "array<string>"
+    names = [n for ns in dimensions.LANGUAGE_CONFIGS.values() for n in ns]
+    beside = files.filter(basename(F.col("path")).isin(*names)).select(parent(F.col("path")).alias("root"))
+    roots = pkgs.select("root").unionByName(workspaces.select("root")).unionByName(beside).distinct()
+    source = files.filter(F.col("role").isin(*SOURCE_ROLES)).select("path", "language")
+    near = lambda df: nearest_owner(df, "path", roots.withColumn("id", F.col("root")), "root").withColumn("root", F.coalesce("owner_root", F.lit("")))
+    by_file = near(source).select("root", "language", F.col("path").alias("e"))
+    said = languages.join(pkgs.select(F.col("id").alias("package"), F.col("root").alias("own")), "package").select("own", "language", F.explode("evidence").alias("path"))
+    by_package = near(said).filter("root = own").select("root", "language", F.col("path").alias("e"))
+    spoken = by_file.unionByName(by_package).distinct()
+    every = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
+    tongues = spoken.groupBy("root").agg(every("language", "languages"))
+    made = pkgs.groupBy("root").agg(every("id", "packages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ecosystems")))).alias("ecosystems"))
+    proof = by_file.select("root", "e").unionByName(pkgs.select("root", F.col("path").alias("e"))).unionByName(workspaces.select("root", F.col("path").alias("e"))).groupBy("root").agg(every("e", "evidence"))
+    here = files.select(parent(F.col("path")).alias("root"), basename(F.col("path")).alias("name"))
+    web = pkgs.filter(F.exists("dependencies", lambda d: d["name"].isin(*dimensions.WEB_PACKAGES))).select("root").unionByName(here.filter(F.col("name").isin(*dimensions.WEB_CONFIGS)).select("root").join(pkgs.select("root"), "root", "left_semi"))
+    tauri = here.filter(F.col("name").isin(*dimensions.TAURI_CONFIGS) & (basename(F.col("root")) == "src-tauri")).select(parent(F.col("root")).alias("root")).join(pkgs.select("root"), "root", "left_semi")
+    facts = [(workspaces.filter("kind = 'cargo'").select("root"), "cargo-workspace"), (web, "static-site"), (tauri, "tauri")]
+    facets = facts[0][0].withColumn("facet", F.lit(facts[0][1]))
+    for df, name in facts[1:]:
+        facets = facets.unionByName(df.withColumn("facet", F.lit(name)))
+    facets = facets.groupBy("root").agg(every("facet", "facets"))
+    out = roots.unionByName(spoken.select("root")).distinct()
+    for part in (made, tongues, facets, proof):
+        out = out.join(part, "root", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(text)).alias(c)
+    return out.select("root", *[none(c) for c in ("packages", "languages", "ecosystems", "facets", "evidence")])
+
+
+def artifacts(files: DataFrame, pkgs: DataFrame, found: DataFrame) -> DataFrame:
+    """(profile, root, evidence): what projects (`found`) and packages make, by facets, dependencies, scripts, sources and declared binaries."""
+    one = F.array("e").alias("evidence")
+    by_facet = [found.filter(F.array_contains("facets", facet)).select(F.lit(profile).alias("profile"), "root", "evidence") for facet, profile in dimensions.FACET_ARTIFACTS]
+    uses = lambda *names: F.exists("dependencies", lambda d: F.coalesce(d["package"], d["name"]).isin(*names)) if names else F.lit(False)
+    says = lambda *words: F.exists("scripts", lambda s: F.array_max(F.array(*[s["command"].contains(w) for w in words])))
+    by_package = [pkgs.filter(uses(*deps) | says(*signals)).select(F.lit(profile).alias("profile"), "root", F.array("path").alias("evidence")) for profile, deps, signals in dimensions.PACKAGE_ARTIFACTS]
+    backends = found.filter(F.array_contains("facets", "tauri")).select(F.when(F.col("root") == "", "src-tauri").otherwise(F.concat("root", F.lit("/src-tauri"))).alias("root"))
+    cargo = pkgs.filter("kind = 'cargo'").select("root", "path", "bins")
+    # A source can make a binary of the one package whose src folder it stands in.
+    marker = files.select("path", F.regexp_extract("path", r"^(?:(.*)/)?src/(?:main|bin/.*)\.rs$", 1).alias("root")).filter(F.col("path").rlike(r"^(.*/)?src/(main|bin/.*)\.rs$"))
+    marker = marker.groupBy("root").agg(F.min("path").alias("marker"))
+    source = cargo.join(marker, "root").join(backends, "root", "left_anti").select(F.lit("binary").alias("profile"), "root", F.array("path", "marker").alias("evidence"))
+    declared = cargo.filter(F.size("bins") > 0).select(F.lit("binary").alias("profile"), "root", F.array("path").alias("evidence"))
+    every = source.unionByName(declared)
+    for x in (*by_facet, *by_package):
         every = every.unionByName(x)
-    return every.groupBy("profile", "root").agg(F.array_sort(F.collect_set("e")).alias("evidence"))
-
-
-def projects(files: DataFrame, pkgs: DataFrame) -> DataFrame:
-    """(root, languages): roots of packages, or the top if there is none; each source file belongs to the nearest."""
-    roots = pkgs.select("root").distinct()
-    source = files.filter("role = 'programming'")
-    near = nearest_owner(source.select("path", "language"), "path", roots.withColumn("id", F.col("root")), "root").withColumn("owner_root", F.coalesce("owner_root", F.lit("")))
-    found = near.groupBy(F.col("owner_root").alias("root")).agg(F.array_sort(F.collect_set("language")).alias("languages"))
-    none = F.array().cast("array<string>")
-    return roots.join(found, "root", "full").select("root", F.coalesce("languages", none).alias("languages"))
+    return every.groupBy("profile", "root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
 
 
 STAGES: list[tuple[int, str, Callable[[Tables], Tables]]] = []
@@ -258,35 +364,42 @@ def stage(phase: int, name: str) -> Callable[[Callable[[Tables], Tables]], Calla
 
 @stage(0, "manifests")
 def _manifests(t: Tables) -> Tables:
-    parsed = manifests(t["contents"]).persist()
+    parsed = cut(manifests(t["contents"]), "manifests")
     bad = parsed.filter("error IS NOT NULL").select(F.lit("manifest").alias("kind"), "path", F.col("error").alias("message"))
     return t | {"manifests": parsed, "packages": packages(parsed), "diagnostics": bad}
 
 
 @stage(1, "relationships")
 def _relationships(t: Tables) -> Tables:
-    # Small tables that feed all that follows are kept, so that plans stay short.
+    # Small tables that feed all that follows are written, so that plans stay short.
     pkgs, odd = resolve_ecosystems(t["packages"], t["files"])
-    pkgs = pkgs.persist()
-    members, odd2 = resolve_workspaces(pkgs, t["manifests"])
-    pkgs = inherit(pkgs, members.persist(), t["files"]).persist()
-    owners = assign_files(t["files"], pkgs).persist()
-    return t | {"packages": pkgs, "owners": owners, "package_languages": package_languages(t["files"], owners, pkgs), "diagnostics": t["diagnostics"].unionByName(odd).unionByName(odd2)}
+    pkgs = cut(pkgs, "packages")
+    pnpm = cut(pnpm_workspaces(t["contents"], t["manifests"]), "pnpm")
+    specs = cut(workspace_specs(t["manifests"], pnpm), "workspaces")
+    members, odd2 = resolve_workspaces(pkgs, specs)
+    members = cut(members, "members")
+    pkgs = cut(inherit(pkgs, members, t["files"]), "packages")
+    owners = cut(assign_files(t["files"], pkgs), "owners")
+    languages = cut(package_languages(t["files"], owners, pkgs), "languages")
+    locked, odd3 = resolutions(pkgs, t["contents"])
+    odd4 = pnpm.filter("error IS NOT NULL").select(F.lit("workspace").alias("kind"), "path", F.col("error").alias("message"))
+    notes = t["diagnostics"].unionByName(odd).unionByName(odd2).unionByName(odd3).unionByName(odd4)
+    return t | {"packages": pkgs, "members": members, "workspaces": specs.withColumnRenamed("ws", "root"), "owners": owners, "package_languages": languages, "resolutions": locked, "diagnostics": notes}
 
 
 @stage(2, "projects")
 def _projects(t: Tables) -> Tables:
-    return t | {"projects": projects(t["files"], t["packages"])}
+    return t | {"projects": cut(projects(t["files"], t["packages"], t["workspaces"], t["package_languages"]), "projects")}
 
 
 @stage(3, "artifacts")
 def _artifacts(t: Tables) -> Tables:
-    return t | {"artifacts": artifacts(t["files"], t["packages"], t["owners"])}
+    return t | {"artifacts": artifacts(t["files"], t["packages"], t["projects"])}
 
 
 def inspect(tree: DataFrame) -> Tables:
     """All tables of a tree (path, size, head, text), by the registered stages."""
-    out: Tables = {"files": detect_language(tree.select("path", "size", "head"), first_line="head").persist(), "contents": tree.select("path", "text")}
+    out: Tables = {"files": cut(detect_language(tree.select("path", "size", "head"), first_line="head"), "files"), "contents": tree.select("path", "text")}
     for _, _, f in sorted(STAGES, key=lambda s: (s[0], s[1])):
         out = f(out)
     return out
