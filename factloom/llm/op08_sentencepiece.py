@@ -40,7 +40,9 @@ SPACE = "▁"
 DICTIONARY = 200_000
 LONGEST = 32
 #: Bytes of words and ids that a worker keeps, and what an entry takes besides.
-MEMO_BYTES, ENTRY = 96 << 20, 200
+MEMO_BYTES, ENTRY = 48 << 20, 200
+#: Texts that are taken together.
+SLICE = 256
 #: Characters of a word up to which a scan for the best pair costs less than a heap.
 SHORT = 48
 TASKS = 48
@@ -231,7 +233,12 @@ class Codec:
         return np.frombuffer(b"".join(map(self.word, _WORDS.findall(SPACE + text.replace(" ", SPACE)))), "<u4")
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(how many ids each text has, the ids of all of them): each different word of the batch is looked up once."""
+        """(how many ids each text has, the ids of all of them)."""
+        parts = [self._encode(texts.slice(a, SLICE)) for a in range(0, len(texts), SLICE)]
+        return np.concatenate([n for n, _ in parts] or [np.zeros(0, np.int64)]), np.concatenate([x for _, x in parts] or [np.zeros(0, "<u4")])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode_all`; each different word is looked up once."""
         odd = np.array([not (t := x.as_py()) or bool(_RUNS.search(t)) for x in texts], bool)
         usual = texts.filter(pa.array(~odd))
         sizes, ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -291,12 +298,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         codec = kept(token, lambda: Codec(*shared.value))
         rows: list[list] = [[], [], [], []]
-        sizes, ids = codec.encode_all(b.column(1))
-        every, at = memoryview(ids.astype("<u4").tobytes()), 0
-        for t, n, back in zip(b.column(1).cast(pa.binary()), sizes.tolist(), codec.decode_all(sizes, ids)):
-            raw, at = every[4 * at : 4 * (at + n)], at + n
-            for c, v in zip(rows, (n, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), back == t.as_py())):
-                c.append(v)
+        for a in range(0, b.num_rows, SLICE):
+            texts, at = b.column(1).slice(a, SLICE), 0
+            sizes, ids = codec.encode_all(texts)
+            every = memoryview(ids.astype("<u4").tobytes())
+            for t, n, back in zip(texts, sizes.tolist(), codec.decode_all(sizes, ids)):
+                raw, at = every[4 * at : 4 * (at + n)], at + n
+                for c, v in zip(rows, (n, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), back == t.as_py().encode())):
+                    c.append(v)
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, t in zip(rows, types)]], names=["doc_id", "n_tokens", "ids_crc32", "ids_sha256", "round_trip"])
 
