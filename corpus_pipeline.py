@@ -18,31 +18,49 @@ from factloom.shipping import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is scored as one empty window, a long one by all its windows; repeated rows share their fate;
+    without labels of both classes all stay; an empty table stays empty; all columns pass unchanged.
+    """
     ship(spark)
     return op09_toxicity.keep_ordinary(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates the document with the least id stays, once.
+
+    Null, empty and blank texts are one group; null ids come last; of rows that repeat an id the one with the least hash of
+    its text stays, of whole rows that repeat any one; an empty table stays empty; all columns pass unchanged.
+    """
     ship(spark)
     return op05_simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay, as does everything if there is no item; repeated rows share their fate; an empty
+    table stays empty; all columns pass unchanged.
+    """
     ship(spark)
     return op01_decontaminate.without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; the number of characters follows the text."""
+    """Personal data is replaced by its kind; the number of characters follows the text.
+
+    A null text becomes an empty one of 0 characters; all rows stay, each for itself; other columns pass unchanged.
+    """
     clean = op02_pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document as SentencePiece ids."""
+    """Every kept document as SentencePiece ids: (doc_id, ids).
+
+    Null and empty texts have no ids; null and repeated doc_ids stay, each for itself; an empty table stays empty.
+    """
     import public_tokenizers
 
     ship(spark)
