@@ -106,7 +106,7 @@ SUPERSEDES = {"typescript": ("javascript",)}
 # What the source of a language can hold.
 LANGUAGE_FACETS = {
     "component-host": ("javascript", "svelte", "typescript", "vue"),
-    "structured-code": ("c", "cpp", "csharp", "go", "java", "javascript", "kotlin", "php", "python", "ruby", "rust", "scala", "shell", "svelte", "swift", "typescript", "vue", "zig"),
+    "structured-code": ("c", "c-sharp", "cpp", "go", "java", "javascript", "kotlin", "php", "python", "ruby", "rust", "scala", "shell", "svelte", "swift", "typescript", "vue", "zig"),
     "style-host": ("css", "html", "javascript", "less", "scss", "svelte", "typescript", "vue"),
 }
 # Packages and configuration files of web sites and desktop applications.

@@ -61,8 +61,22 @@ def functions(classified: DataFrame) -> DataFrame:
     )
 
 
+def _nested(levels: int) -> str:
+    """A pattern of text without a comma outside brackets, brackets nested up to `levels` deep."""
+    plain, inner = r"[^,()\[\]{}<>]", ""
+    for _ in range(levels):
+        inner = rf"|[(\[{{<](?:[^()\[\]{{}}<>]{inner})*+[)\]}}>]"
+    return rf"^(?:{plain}{inner})*+(?=,|$)"
+
+
+_HEAD = _nested(4)
+
+
 def leading_type(arguments: Column) -> Column:
-    """The first argument at bracket depth 0, unless it is a value or a name."""
+    """The first argument at bracket depth 0, unless it is a value or a name.
+
+    A pattern finds it where brackets nest up to four deep; a fold over the characters the others.
+    """
     zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
 
     def step(a: Column, c: Column) -> Column:
@@ -70,7 +84,8 @@ def leading_type(arguments: Column) -> Column:
         move = F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)
         return F.struct((a["depth"] + move).alias("depth"), ends.alias("done"), F.when(ends, a["out"]).otherwise(F.concat(a["out"], c)).alias("out"))
 
-    first = F.trim(F.aggregate(F.split(arguments, ""), zero, step, lambda a: a["out"]))
+    slow = F.aggregate(F.split(arguments, ""), zero, step, lambda a: a["out"])
+    first = F.trim(F.when(arguments.rlike(_HEAD), F.regexp_extract(arguments, _HEAD, 0)).otherwise(slow))
     return F.when(first.rlike("^[%@]"), "").otherwise(first)
 
 
@@ -108,13 +123,37 @@ def tally(classified: DataFrame) -> DataFrame:
     return classified.groupBy("class").agg(F.count("*").alias("n"))
 
 
+def balances(classified: DataFrame) -> DataFrame:
+    """One row: lines, how many are in a known class, and whether none is left over."""
+    known = ["blank", "begin", "end", "header", "delimiter", "death", "instruction", "unparsed", "other"]
+    out = classified.agg(F.count("*").alias("lines"), F.count_if(F.col("class").isin(*known)).alias("counted"))
+    return out.withColumn("balanced", F.col("lines") == F.col("counted"))
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Dump files as numbered lines: whole files, since a text source promises no order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).select("file", F.col("line_no").cast("long").alias("line_no"), "value")
+    """Dump files as numbered lines, read in splits, so that a file of any size is many tasks.
+
+    A line's number is its place in its split, which Spark counts up within a task, after the lines of the splits before.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"), "value")
+    splits = lines.groupBy("file", "__at").agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    # A row per split of a file: few.
+    before = Window.partitionBy("file").orderBy("__at")
+    base = splits.withColumn("__base", F.sum("__size").over(before) - F.col("__size")).select("file", "__at", (F.col("__base") - F.col("__first")).alias("__move"))
+    return lines.join(F.broadcast(base), ["file", "__at"]).select("file", (F.col("__n") + F.col("__move")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def numbered(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(functions, instructions) with id: functions are numbered from 0 over all files, in the order of files and lines."""
+    made = functions(classified)
+    # A row per file: the running sum is a small window.
+    files = made.groupBy("file").agg(F.max("fn").alias("n"))
+    base = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("__base"))
+    ids = lambda df: df.join(F.broadcast(base), "file").withColumn("id", F.col("fn") - 1 + F.col("__base")).drop("__base")
+    return ids(made), ids(instructions(classified))
 
 
 def write_store(classified: DataFrame, path: str) -> None:
-    """Both tables as zstd Parquet; functions are numbered from 0 in file order."""
-    for name, df in (("functions", functions(classified)), ("instructions", instructions(classified))):
+    """Both tables as zstd Parquet; functions are numbered from 0 over all files."""
+    for name, df in zip(("functions", "instructions"), numbered(classified)):
         df.withColumn("fn", F.col("fn") - 1).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")

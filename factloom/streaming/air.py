@@ -16,12 +16,25 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return cut.select("file", F.col("line_no").cast("long").alias("line_no"), "value")
 
 
+def _stored(spark: SparkSession, out: str, batch: int) -> int:
+    """How many functions the batches before hold."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{out}/functions").filter(F.col("batch") < batch).count()
+    except AnalysisException:  # nothing is stored yet
+        return 0
+
+
 def store_stream(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes functions and instructions of each batch under `out`, one folder a batch, so that a replay overwrites it."""
+    """Writes functions and instructions of each batch under `out`, one folder a batch, so that a replay overwrites it.
+
+    Functions are numbered from 0 over the whole store: a batch goes on after those before it.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
-        classified = air.classify(batch)
-        for name, df in (("functions", air.functions(classified)), ("instructions", air.instructions(classified))):
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={n}")
+        base = _stored(batch.sparkSession, out, n)
+        for name, df in zip(("functions", "instructions"), air.numbered(air.classify(batch))):
+            df.withColumn("id", F.col("id") + base).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={n}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
