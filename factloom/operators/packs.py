@@ -171,5 +171,6 @@ def resolve(files: DataFrame, packs: DataFrame) -> DataFrame:
 def vocabulary(packs: DataFrame) -> DataFrame:
     """(id, language, topic, word): what packs say about errors and tests, a row a word."""
     topics = ["fallible_types", "optional_types", "non_failure_results", "non_failure_results_forms", "ambiguous_forms", "markers", "module_markers"]
-    rows = F.explode(F.flatten(F.array(*[F.transform(t, lambda w, t=t: F.struct(F.lit(t).alias("topic"), w.alias("word"))) for t in topics], F.array(F.struct(F.lit("propagation").alias("topic"), F.col("propagation").alias("word"))))))
+    named = lambda topic: F.transform(topic, lambda w: F.struct(F.lit(topic).alias("topic"), w.alias("word")))
+    rows = F.explode(F.flatten(F.array(*map(named, topics), F.array(F.struct(F.lit("propagation").alias("topic"), F.col("propagation").alias("word"))))))
     return packs.select("id", "language", rows.alias("x")).select("id", "language", "x.*")

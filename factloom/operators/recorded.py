@@ -15,7 +15,7 @@ def compiler(outputs: DataFrame) -> DataFrame:
     version = F.coalesce(field("release"), F.get(words, F.lit(1)))
     lines = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("cfg", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "")))
     features = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, '^target_feature="(.*)"$', 1)), lambda x: x != "")
-    root = F.trim("sysroot")
+    root = F.regexp_replace("sysroot", r"^\s+|\s+$", "")
     error = F.when(version.isNull(), "no release in the version").when(field("host").isNull(), "no host in the version").when(root == "", "no sysroot")
     return outputs.select(F.lit("rustc").alias("name"), version.alias("version"), field("commit-hash").alias("commit"), field("host").alias("host"), root.alias("sysroot"), lines.alias("cfg"), features.alias("target_features"), error.alias("error"))
 

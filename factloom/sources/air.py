@@ -1,7 +1,7 @@
 """Intermediate-representation dumps: lines of text to functions, instructions and a tally.
 
-Functions are islands: the running count of begin lines. A position holds for the instructions after
-its line, within a function. Both are windows by file, so files are the unit of parallel work.
+Functions are islands: the running count of begin lines, by stretches of a file. A position holds for the
+instructions after its line, within a function. Stretches and functions are the units of parallel work.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BEGIN, END = "# Begin Function AIR: ", "# End Function AIR:"
 _INSTRUCTION = r"^%\s*\+?([0-9]+)\s*(!*)=(.*)$"
+#: Lines that are counted together.
+STRETCH = 1 << 18
 SCHEMA = "file string, line_no long, value string"
 
 
@@ -18,9 +20,15 @@ def classify(lines: DataFrame) -> DataFrame:
     """`lines` (file, line_no, value) with fn (ordinal in the file, 0 before the first), body and class."""
     body = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     df = lines.withColumn("body", body)
-    order = Window.partitionBy("file").orderBy("line_no")
     begins, ends = F.col("body").startswith(BEGIN), F.col("body").startswith(END)
-    df = df.withColumn("fn", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # The running count of begin lines, stretch by stretch: a long file isn't one task.
+    df = df.withColumn("stretch", F.floor(F.col("line_no") / STRETCH))
+    own = Window.partitionBy("file", "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    heads = df.filter(begins).groupBy("file", "stretch").agg(F.count("*").alias("n"))
+    every = df.select("file", "stretch").distinct().join(heads, ["file", "stretch"], "left")
+    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = every.select("file", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    df = df.withColumn("fn", F.sum(begins.cast("int")).over(own)).join(base, ["file", "stretch"]).withColumn("fn", F.col("fn") + F.col("base")).drop("stretch", "base")
     # A function is open from its begin line until its first end line.
     inside = Window.partitionBy("file", "fn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     closed = F.coalesce(F.max(ends).over(inside), F.lit(False))
