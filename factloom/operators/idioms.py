@@ -51,6 +51,19 @@ def innermost(inner: DataFrame, outer: DataFrame, on: list[str], strict: bool =
     return rows.groupBy(*[F.col(f"i.{c}").alias(c) for c in inner.columns]).agg(F.min_by(F.col("o.id"), F.struct(width, F.col("o.id"))).alias("around"))
 
 
+def with_marker(directories: DataFrame, files: DataFrame, markers: DataFrame) -> DataFrame:
+    """The `directories` (path) over or in which a marker file of their name stands: markers (name, marker), a null marker for names that need none.
+
+    Every folder over a directory is a key, and so is the file's own folder: two equi-joins.
+    """
+    named = directories.select("path", F.substring_index("path", "/", -1).alias("name")).join(F.broadcast(markers), "name")
+    over = named.filter("marker IS NOT NULL").select("path", "marker", F.explode(ancestors(F.col("path"), own=False)).alias("a")).select("path", "marker", F.col("a.root").alias("folder"))
+    p = F.split(files["path"], "/")
+    at = files.select(F.array_join(F.slice(p, 1, F.size(p) - 1), "/").alias("folder"), F.get(p, F.size(p) - 1).alias("marker"))
+    marked = over.join(at, ["folder", "marker"], "left_semi").select("path")
+    return directories.join(marked.unionByName(named.filter("marker IS NULL").select("path")).distinct(), "path", "left_semi")
+
+
 def normalize_relative(base: Column, path: Column) -> Column:
     """base/path with '.' and '..' resolved by the letters alone."""
     steps = F.filter(F.concat(parts(base), F.split(path, "/")), lambda s: ~s.isin("", "."))

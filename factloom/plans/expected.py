@@ -604,4 +604,13 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ('CODEOWNERS', 8, 'unsupported pattern'),
         ],
     ),
+    "generated_directories": (
+        "path varchar",
+        [
+            ("web/build",),
+            ("web/src/build",),
+            ("x/__pycache__",),
+            ("x/target",),
+        ],
+    ),
 }

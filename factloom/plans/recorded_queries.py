@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpora, packs, recorded, rewrite, semantics, stats
+from .. import dimensions
+from ..operators import corpora, idioms, packs, recorded, rewrite, semantics, stats
 from ..shared import shared_dir
 from ..sources import air
 
@@ -214,6 +215,15 @@ def merge_provenance(spark: SparkSession, _: str) -> DataFrame:
     return merged["provenance"].select("unit", "toolchain", "provider").join(F.broadcast(asked))
 
 
+def generated_directories(spark: SparkSession, _: str) -> DataFrame:
+    """Directories that hold what was made, by their names and the marker files over them."""
+    paths = ["web/package.json", "web/build/a.js", "web/src/build/b.js", "notes/build/n.md", "Cargo.toml", "x/target/debug/t", "x/__pycache__/m.pyc", "lib/dist/d.js"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    folders = files.select(F.explode(idioms.ancestors(F.col("path"), own=False)).alias("a")).select(F.col("a.root").alias("path")).filter("path <> ''").distinct()
+    markers = spark.createDataFrame([(n, m) for n, ms in dimensions.TRAVERSAL.items() for m in (ms or (None,))], "name string, marker string")
+    return idioms.with_marker(folders, files, markers)
+
+
 def dump_balance(spark: SparkSession, d: str) -> DataFrame:
     from .registry import dump
 
@@ -238,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         rewrites_applied, rewrite_rules, parser_packs, parser_pack_errors, parser_resolution, parser_differences, parser_vocabulary, corpus_samples, corpus_layouts, published_index, compiler_observation, first_errors, parse_rate, error_heads,
-        container_kinds, receivers, locals_and_calls, argument_binding, entity_ids, dispatch_order, observation_documents, merge_provenance, dump_balance, dump_function_ids, shared_tasks,
+        container_kinds, receivers, locals_and_calls, argument_binding, entity_ids, dispatch_order, observation_documents, merge_provenance, generated_directories, dump_balance, dump_function_ids, shared_tasks,
     )
 }

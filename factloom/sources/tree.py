@@ -1,7 +1,8 @@
 """A source tree as a table: format "code_tree" with path, size, head and (only if asked for) content.
 
-Options: path; respect_gitignore (true), include_generated (false), include_hidden (true),
-additional_ignores (comma-separated globs), sniff_shebangs (true), content (false).
+Options: path; respect_gitignore (true), parent_ignores (false), global_gitignore (false; true, or the file),
+include_generated (false), include_hidden (true), additional_ignores (comma-separated globs),
+sniff_shebangs (true), content (false).
 The walk lists files in sorted order and follows no links; executors read heads and contents.
 """
 
@@ -11,7 +12,8 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import dimensions
@@ -60,10 +62,13 @@ def glob_regex(glob: str, crosses: bool = True) -> str:
 
 
 class Ignores:
-    """The rules of one ignore file, relative to its directory; the last rule that fits decides."""
+    """The rules of one ignore file, relative to its directory; the last rule that fits decides.
 
-    def __init__(self, base: str, text: str) -> None:
-        self.base, self.rules = base, []
+    `base` is that directory in the tree; `over` is the way from it to the tree's root, if it is above.
+    """
+
+    def __init__(self, base: str, text: str, over: str = "") -> None:
+        self.base, self.over, self.rules = base, over, []
         for line in text.splitlines():
             line = line.rstrip() if not line.endswith("\\ ") else line
             if not line or line.startswith("#"):
@@ -80,7 +85,7 @@ class Ignores:
             self.rules.append((re.compile(body if anchored else f"(?:.*/)?{body}"), negated, only_dir))
 
     def decide(self, path: str, is_dir: bool) -> bool | None:
-        own = path[len(self.base) + 1 :] if self.base else path
+        own = path[len(self.base) + 1 :] if self.base else f"{self.over}/{path}" if self.over else path
         found = None
         for rule, negated, only_dir in self.rules:
             if (is_dir or not only_dir) and rule.fullmatch(own):
@@ -88,13 +93,47 @@ class Ignores:
         return found
 
 
-def walk(root: str, respect_gitignore: bool = True, include_generated: bool = False, include_hidden: bool = True, additional_ignores: tuple[str, ...] = ()) -> list[str]:
+def _read(path: str) -> str:
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
+def global_ignores() -> str:
+    """The file of ignore rules that hold for all trees of a user."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return os.path.join(home, "git", "ignore")
+
+
+def outer_rules(root: str, respect_gitignore: bool, parent_ignores: bool, global_gitignore: str | bool) -> list[Ignores]:
+    """Rules that hold before any of the tree's own, the weakest first: of the user, of folders above, of the repository."""
+    rules: list[Ignores] = []
+    everywhere = global_ignores() if global_gitignore is True else global_gitignore
+    if everywhere and os.path.isfile(everywhere):
+        rules.append(Ignores("", _read(everywhere)))
+    top = os.path.realpath(root)
+    above, steps = os.path.dirname(top), [os.path.basename(top)]
+    found: list[Ignores] = []
+    while parent_ignores and above != os.path.dirname(above):
+        names = [n for n in (".ignore", ".gitignore") if os.path.isfile(os.path.join(above, n))]
+        found += [Ignores("", _read(os.path.join(above, n)), "/".join(reversed(steps))) for n in names]
+        steps.append(os.path.basename(above))
+        above = os.path.dirname(above)
+    rules += reversed(found)
+    exclude = os.path.join(root, ".git", "info", "exclude")
+    if respect_gitignore and os.path.isfile(exclude):
+        rules.append(Ignores("", _read(exclude)))
+    return rules
+
+
+def walk(
+    root: str, respect_gitignore: bool = True, include_generated: bool = False, include_hidden: bool = True, additional_ignores: tuple[str, ...] = (), parent_ignores: bool = False, global_gitignore: str | bool = False
+) -> list[str]:
     """Relative paths of all regular files that count, sorted by their components."""
     if not os.path.isdir(root):
         raise ValueError(f"not a directory: {root}")
     extra = [re.compile(glob_regex(g.lstrip("/").removesuffix("/**")) + ("(?:/.*)?" if g.endswith("/**") else "")) for g in additional_ignores]
     out: list[str] = []
-    stack: list[tuple[str, list[Ignores], frozenset[str]]] = [("", [], frozenset())]
+    stack: list[tuple[str, list[Ignores], frozenset[str]]] = [("", outer_rules(root, respect_gitignore, parent_ignores, global_gitignore), frozenset())]
     while stack:
         at, rules, above = stack.pop()
         entries = sorted(os.scandir(os.path.join(root, at)), key=lambda e: e.name)
@@ -102,8 +141,7 @@ def walk(root: str, respect_gitignore: bool = True, include_generated: bool = Fa
         if respect_gitignore:
             for e in entries:
                 if e.name in (".gitignore", ".ignore") and e.is_file():
-                    with open(e.path, encoding="utf-8", errors="replace") as f:
-                        rules = [*rules, Ignores(at, f.read())]
+                    rules = [*rules, Ignores(at, _read(e.path))]
         for e in entries:
             path, is_dir = f"{at}/{e.name}" if at else e.name, e.is_dir(follow_symlinks=False)
             if e.is_symlink() or e.name == ".git" or not include_hidden and e.name.startswith("."):
@@ -124,6 +162,27 @@ def safe(path: str) -> bool:
     return bool(path) and not path.startswith("/") and ".." not in path.split("/")
 
 
+def read_text(paths: DataFrame, root: str) -> DataFrame:
+    """`paths` (path) with text and error: the files of a tree that all executors see; only paths that stay in it are read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                text, error = None, None
+                try:
+                    if not safe(path or ""):
+                        raise ValueError("the path must be relative and stay in the tree")
+                    with open(os.path.join(root, path), "rb") as f:
+                        text = f.read().decode("utf-8")
+                except (OSError, ValueError) as e:  # UnicodeDecodeError is a ValueError
+                    error = str(e)[:200]
+                rows.append([path, text, error])
+            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+
+    return paths.select("path").mapInPandas(run, "path string, text string, error string")
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -135,7 +194,9 @@ class TreeReader(DataSourceReader):
         self.root, self.columns = options.get("path") or "", columns
         self.content, self.sniff = flag("content", "false"), flag("sniff_shebangs", "true")
         ignores = tuple(x for x in (options.get("additional_ignores") or "").split(",") if x)
-        self.walk = {"respect_gitignore": flag("respect_gitignore", "true"), "include_generated": flag("include_generated", "false"), "include_hidden": flag("include_hidden", "true"), "additional_ignores": ignores}
+        everywhere = str(options.get("global_gitignore", "false"))
+        outer = {"parent_ignores": flag("parent_ignores", "false"), "global_gitignore": {"true": True, "false": False}.get(everywhere.lower(), everywhere)}
+        self.walk = outer | {"respect_gitignore": flag("respect_gitignore", "true"), "include_generated": flag("include_generated", "false"), "include_hidden": flag("include_hidden", "true"), "additional_ignores": ignores}
 
     def partitions(self) -> list[Files]:
         paths = walk(self.root, **self.walk)

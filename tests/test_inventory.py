@@ -93,3 +93,55 @@ def test_stream(spark, tmp_path):
     batch = air.instructions(air.classify(air.read_dump(spark, str(tmp_path / "in"))))
     rows = lambda df: sorted((r["fn"], r["line_no"], r["op"], r["line"]) for r in df.collect())
     assert rows(spark.read.parquet(str(tmp_path / "out/instructions"))) == rows(batch) and batch.count() == 14
+
+
+def test_outer_ignores(spark, tmp_path):
+    top = tmp_path / "over" / "root"
+    for path, text in {"over/.gitignore": "*.tmp\nroot/only/\n", "over/root/.git/info/exclude": "private\n", "over/root/a.tmp": "", "over/root/only/x": "", "over/root/private": "", "over/root/keep.tmp": "", "over/root/.gitignore": "!keep.tmp\n", "over/root/b.txt": "b", "rules": "b.*\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    names = [".gitignore", "a.tmp", "b.txt", "keep.tmp", "only/x", "private"]
+    assert tree.walk(str(top)) == [n for n in names if n != "private"]
+    assert tree.walk(str(top), respect_gitignore=False) == names
+    assert tree.walk(str(top), parent_ignores=True) == [".gitignore", "b.txt", "keep.tmp"]
+    assert tree.walk(str(top), global_gitignore=str(tmp_path / "rules")) == [".gitignore", "a.tmp", "keep.tmp", "only/x"]
+    tree.register(spark)
+    found = spark.read.format("code_tree").option("parent_ignores", "true").option("global_gitignore", str(tmp_path / "rules")).load(str(top))
+    assert sorted(r["path"] for r in found.select("path").collect()) == [".gitignore", "keep.tmp"]
+    read = tree.read_text(spark.createDataFrame([("b.txt",), ("../x",), ("/etc/passwd",), ("none",)], "path string"), str(top)).collect()
+    assert {r["path"]: (r["text"], r["error"] is None) for r in read} == {"b.txt": ("b", True), "../x": (None, False), "/etc/passwd": (None, False), "none": (None, False)}
+
+
+def test_split_dump(spark, tmp_path):
+    """A file read in many splits has the lines, and the functions their ids, that it has read whole."""
+    text = "".join(f"# Begin Function AIR: f{i}:\n# AIR Instructions: 1 (x)\n  %0 = add(u8, %{i})\n# End Function AIR: f{i}\n" for i in range(3000))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = air.read_dump(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 8
+        got = [(r["file"][-5:], r["line_no"], r["value"]) for r in lines.collect()]
+        assert sorted(got) == sorted((f"{n}.txt", i, x) for n in ("a", "b") for i, x in enumerate(text.splitlines()))
+        ids = {(r["file"][-5:], r["mangled"]): r["id"] for r in air.numbered(air.classify(lines))[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert ids == {(f"{n}.txt", f"f{i}"): i + 3000 * k for k, n in enumerate(("a", "b")) for i in range(3000)}
+
+
+def test_leading_type(spark):
+    texts = ["u8, %1", "struct { a: u8, b: u16 }, x", "fn (a, [2]b) c", "a(b(c(d(e(f,g),h),i),j),k), z", "->x, y", "", "%1, u8", "@as(u8, 1), u8", "a], b", "((", "a<b,c>, d"]
+    slow = []
+    for t in texts:
+        depth, out = 0, ""
+        for c in t:
+            if c == "," and depth == 0:
+                break
+            depth += (c in "([{<") - (c in ")]}>")
+            out += c
+        slow.append("" if out.strip()[:1] in ("%", "@") else out.strip())
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(air.leading_type(F.col("t"))).collect()] == slow
