@@ -36,19 +36,35 @@ def first_by_rank(df: DataFrame, keys: list[str], value: str, rank: str) -> Data
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(rank, value)).alias(value))
 
 
+#: Dyadic levels of places: up to 2 ** LEVELS.
+LEVELS = 48
+
+
 def innermost(inner: DataFrame, outer: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
-    """`inner` (on, start, end) with the narrowest interval of `outer` (on, start, end, id) around each."""
-    i, o = inner.alias("i"), outer.alias("o")
-    same = [F.col(f"i.{c}") == F.col(f"o.{c}") for c in on]
-    around = (F.col("i.start") >= F.col("o.start")) & (F.col("i.end") <= F.col("o.end"))
+    """`inner` (on, start, end), each once, with the narrowest interval of `outer` (on, start, end, id) around it; places from 0 on.
+
+    An outer interval is cut into dyadic blocks, at most two a level; an inner one looks up the block of each level that its start is
+    in. So it meets, by an equi-join, just the intervals that its start is in, not all of its file.
+    """
+    half = lambda c, k: F.floor(c / F.pow(F.lit(2), k)).cast("long")
+    low = lambda k: -half(-F.col("start"), k)
+    high = lambda k: half(F.col("end") + 1, k)
+    block = lambda k, n: F.struct(k.cast("int").alias("level"), n.alias("block"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS)),
+        lambda k: F.when(low(k) < high(k), F.array_compact(F.array(F.when(low(k) % 2 == 1, block(k, low(k))), F.when(high(k) % 2 == 1, block(k, high(k) - 1))))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")),
+    )
+    parts = outer.select(*on, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("id").alias("__id"), F.explode(F.flatten(blocks)).alias("__b")).select(*on, "__s", "__e", "__id", "__b.*")
+    levels = sorted(r[0] for r in parts.select("level").distinct().collect())  # at most LEVELS + 1
+    if not levels:
+        return inner.distinct().withColumn("around", F.lit(None).cast(outer.schema["id"].dataType))
+    at = F.explode(F.array(*[block(F.lit(k), half(F.col("start"), F.lit(k))) for k in levels])).alias("__b")
+    met = inner.distinct().select("*", at).select(*inner.columns, "__b.*").join(parts, [*on, "level", "block"])
+    fits = F.col("end") <= F.col("__e")
     if strict:
-        around = around & ((F.col("i.end") - F.col("i.start")) < (F.col("o.end") - F.col("o.start")))
-    cond = around
-    for s in same:
-        cond = s & cond
-    rows = i.join(o, cond, "left")
-    width = F.col("o.end") - F.col("o.start")
-    return rows.groupBy(*[F.col(f"i.{c}").alias(c) for c in inner.columns]).agg(F.min_by(F.col("o.id"), F.struct(width, F.col("o.id"))).alias("around"))
+        fits = fits & ((F.col("end") - F.col("start")) < (F.col("__e") - F.col("__s")))
+    best = met.filter(fits).groupBy(*inner.columns).agg(F.min_by("__id", F.struct(F.col("__e") - F.col("__s"), "__id")).alias("around"))
+    return inner.distinct().join(best, inner.columns, "left")
 
 
 def with_marker(directories: DataFrame, files: DataFrame, markers: DataFrame) -> DataFrame:

@@ -165,3 +165,16 @@ def test_contract(spark, sf):
     assert set(sql) <= set(queries) and e.entry(spark).count() > 0
     for name in ("air_roundtrip_functions", "line_tally", "callees", "nearest_owner", "invocations"):
         assert queries[name](spark, sf).columns
+
+
+def test_innermost(spark):
+    rng = random.Random(8)
+    outer = [(rng.choice("ab"), s, s + rng.randint(0, 60), i) for i in range(60) for s in [rng.randint(0, 200)]]
+    inner = sorted({(rng.choice("abc"), s, s + rng.randint(0, 10)) for _ in range(80) for s in [rng.randint(0, 220)]})
+    o, i = spark.createDataFrame(outer, "f string, start long, end long, id long"), spark.createDataFrame(inner, "f string, start long, end long")
+    for strict in (False, True):
+        got = {tuple(r)[:3]: r["around"] for r in idioms.innermost(i, o, ["f"], strict).collect()}
+        for f, a, b in inner:
+            around = [(e - s, n) for g, s, e, n in outer if g == f and s <= a and b <= e and (not strict or b - a < e - s)]
+            assert got[f, a, b] == (min(around)[1] if around else None)
+    assert idioms.innermost(i, o.limit(0), ["f"]).filter("around IS NULL").count() == len(inner)
