@@ -666,3 +666,26 @@ def test_clashing_columns(spark):
     assert op10.linked(chat).count() == 1
     with pytest.raises(ValueError):
         op10.linked(chat.withColumnRenamed("role", "thread"), role="thread")
+
+
+def test_long_texts(spark):
+    """A text of megabytes is one like any other: tokens, quotes, pages, pieces, benchmark items."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = "word, and another; of 17 ways\n" * 60000
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, long + "end")], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch([long, "short", long + "end"], add_special_tokens=False)]
+    got = {r["key"]: (r["n_tokens"], r["ids_crc32"]) for r in op7.read(op7.write(docs, path)).collect()}
+    assert got == {i + 1: (len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for i, x in enumerate(ids)}
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert {r["doc_id"]: list(r["ids"]) for r in op8.encode(docs, model).collect()} == {i + 1: sp.encode(t) for i, t in enumerate([long, "short", long + "end"])}
+    chat = spark.createDataFrame([(1, 0, "u", long), (1, 1, "u", "> " + long.split("\n")[0] + "\nwhy?"), (2, 0, "u", "".join(f"> {x}\n" for x in long.split("\n")[:30000]) + "mine")], "conv_id long, turn long, role string, text string")
+    out = {(r["conv_id"], r["turn"]): r for r in op10.linked(chat).collect()}
+    assert out[1, 1]["reply_turn"] == 0 and out[2, 0]["text"] == "mine" and out[2, 0]["n_quotes"] == 1 and (out[2, 0]["reply_conv"], out[2, 0]["reply_turn"]) == (1, 0)
+    bench = spark.createDataFrame([(9, "a benchmark item that nobody else would ever write down in this way")], "item_id long, text string")
+    held = spark.createDataFrame([(1, long + "a benchmark item that nobody else would ever write down in this way " + long)], "doc_id long, text string")
+    assert [(r["item_id"], r["distance"]) for r in op1.leaks(held, bench).collect()] == [(9, 0)]
