@@ -247,6 +247,29 @@ def script_tasks(scripts: DataFrame) -> DataFrame:
 UPDATE = "path string, ecosystem string, directories array<string>, interval string, error string"
 
 
+def _said(value: object) -> bool:
+    return isinstance(value, str) and bool(value.strip())
+
+
+def update(entry: object, number: int) -> tuple[str, list[str], str]:
+    """(ecosystem, folders, interval) of one update setting; whatever it lacks raises."""
+    if not isinstance(entry, dict):
+        raise ValueError(f"update {number} must be a mapping")
+    one, many, schedule = entry.get("directory"), entry.get("directories"), entry.get("schedule")
+    every = schedule.get("interval") if isinstance(schedule, dict) else None
+    folders = many if isinstance(many, list) else [one]
+    lacks = {
+        "an ecosystem": not _said(entry.get("package-ecosystem")),
+        "a directory or directories, not both": "directory" in entry and "directories" in entry,
+        "a list of directories": "directories" in entry and not isinstance(many, list),
+        "directories that are texts": not folders or not all(map(_said, folders)),
+        "a schedule with an interval": not _said(every),
+    }
+    if any(lacks.values()):
+        raise ValueError(f"update {number} needs {next(k for k, v in lacks.items() if v)}")
+    return entry["package-ecosystem"], sorted(set(folders)), every
+
+
 def _updates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     load = _loader()
     for b in batches:
@@ -256,14 +279,9 @@ def _updates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 doc = load(text)
                 if not isinstance(doc, dict) or doc.get("version") != 2:
                     raise ValueError("version must be 2")
-                made = []
-                for u in doc.get("updates") or []:
-                    where = u.get("directories") or ([u["directory"]] if isinstance(u.get("directory"), str) else [])
-                    every = (u.get("schedule") or {}).get("interval")
-                    if not isinstance(u.get("package-ecosystem"), str) or not where or not isinstance(every, str):
-                        raise ValueError("an update needs an ecosystem, a directory and a schedule")
-                    made.append([path, u["package-ecosystem"], sorted({str(x) for x in where}), every, None])
-                rows += made
+                if not isinstance(doc.get("updates"), list):
+                    raise ValueError("a list of updates is due")
+                rows += [[path, *update(u, i + 1), None] for i, u in enumerate(doc["updates"])]
             except Exception as e:  # the first error ends the file
                 rows.append([path, None, [], None, str(e)[:200]])
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in UPDATE.split(", ")])

@@ -613,4 +613,17 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ("x/target",),
         ],
     ),
+    "update_errors": (
+        "n int, ecosystem varchar, error varchar",
+        [
+            (0, None, "a list of updates is due"),
+            (1, None, "version must be 2"),
+            (2, None, "update 1 must be a mapping"),
+            (3, None, "update 1 needs a directory or directories, not both"),
+            (4, None, "update 1 needs directories that are texts"),
+            (5, None, "update 2 needs an ecosystem"),
+            (6, None, "update 1 needs a schedule with an interval"),
+            (7, None, "update 1 needs directories that are texts"),
+        ],
+    ),
 }

@@ -292,11 +292,21 @@ def updater_ecosystems(spark: SparkSession, _: str) -> DataFrame:
     return served.unionByName(found.filter("error IS NOT NULL").select("path", "ecosystem", F.array_join("directories", ",").alias("directories"), F.lit(None).cast("string").alias("serves"), F.lit(True).alias("bad")))
 
 
+SETTINGS = ["version: 2", "version: 1\nupdates: []", "version: 2\nupdates: [x]", "version: 2\nupdates:\n  - {package-ecosystem: npm, directory: /, directories: [/a], schedule: {interval: daily}}", "version: 2\nupdates:\n  - {package-ecosystem: npm, directories: [1], schedule: {interval: daily}}",
+            "version: 2\nupdates:\n  - {package-ecosystem: npm, directory: /, schedule: {interval: daily}}\n  - {package-ecosystem: ' ', directory: /, schedule: {interval: daily}}", "version: 2\nupdates:\n  - {package-ecosystem: npm, directory: /}", "version: 2\nupdates:\n  - {package-ecosystem: npm, schedule: {interval: daily}}"]
+
+
+def update_errors(spark: SparkSession, _: str) -> DataFrame:
+    """What is wrong with each of a few settings files."""
+    rows = [df.select(F.lit(i).alias("n"), "ecosystem", "error") for i, t in enumerate(SETTINGS) for df in [forge.dependency_updates(spark.createDataFrame([(".github/dependabot.yml", t)], "path string, text string"))]]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def managed_workflows(spark: SparkSession, _: str) -> DataFrame:
     rows = [("dynamic/pages/x", "active", "branch", ["pull_request"]), (".github/workflows/a.yml", "active", "tag", ["pull_request"]), ("b", "disabled", "branch", ["required_status_checks"]), ("c", "active", "branch", ["deletion", "required_status_checks"])]
     t = spark.createDataFrame(rows, "path string, enforcement string, target string, rules array<string>")
     return t.select("path", forge_facts.is_managed(F.col("path")).alias("managed"), forge.is_gating_ruleset(F.col("enforcement"), F.col("target"), F.col("rules")).alias("gating"))
 
 
-MORE_QUERIES = (workspace_members, cargo_resolutions, workspace_diagnostics, project_facets, facet_artifacts, project_languages, package_predicates, inventory_selections, inline_tests, language_overlays, style_hosts, codeowners_scan, forge_diagnostics, workflow_jobs, workflow_triggers, pull_request_checks, command_roots, tool_invocations, commit_enforcements, automerge_facts, action_publication, updater_ecosystems, managed_workflows)
+MORE_QUERIES = (workspace_members, cargo_resolutions, workspace_diagnostics, project_facets, facet_artifacts, project_languages, package_predicates, inventory_selections, inline_tests, language_overlays, style_hosts, codeowners_scan, forge_diagnostics, workflow_jobs, workflow_triggers, pull_request_checks, command_roots, tool_invocations, commit_enforcements, automerge_facts, action_publication, updater_ecosystems, update_errors, managed_workflows)
 QUERIES = {f.__name__: f for f in (*MORE_QUERIES, packages_inventory, package_owners, package_languages, projects_inventory, artifacts_inventory, inventory_diagnostics, workflow_tasks, dependency_updates)}
