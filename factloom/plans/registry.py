@@ -97,12 +97,31 @@ def pair_ratios_nations(spark, d):
     return rounded(stats.pairs(s, 25).select("left", "right", F.col("lines").alias("ratio"), "tasks"), "ratio")
 
 
-@query()
+def _index_sql() -> str:
+    """The index of four languages as a second engine finds it: the normal equations, the baseline's out, by Cramer's rule."""
+    names = ["de", "es", "fr"]  # besides the baseline
+    sums = ", ".join(f"sum(w) filter (l = '{a}') as d_{a}, " + ", ".join(f"sum(w * ln({m})) filter (l = '{a}') as {m}_{a}" for m in ("lines", "bytes")) + "".join(f", coalesce(sum(w) filter (l = '{a}' and r = '{b}'), 0) as w_{a}_{b}" for b in names if a != b) for a in names)
+    cell = lambda a, b: f"d_{a}" if a == b else f"-w_{a}_{b}"
+
+    def det(rows: list[list[str]]) -> str:
+        return "(" + " + ".join(f"({rows[0][i]}) * (({rows[1][j]}) * ({rows[2][k]}) - ({rows[1][k]}) * ({rows[2][j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))) + ")"
+
+    whole = det([[cell(a, b) for b in names] for a in names])
+    part = lambda m, x: det([[f"{m}_{a}" if b == x else cell(a, b) for b in names] for a in names])
+    found = " union all ".join(f"select '{x}' as language, " + ", ".join(f"exp({part(m, x)} / {whole}) as {m}" for m in ("lines", "bytes")) + " from n" for x in names)
+    both = 'select "left" as l, "right" as r, tasks::double as w, lines, bytes from p union all select "right", "left", tasks::double, 1 / lines, 1 / bytes from p'
+    return f"with {_PAIRS}, both_ways as ({both}), n as (select {sums} from both_ways), x as (select '{BASELINE}' as language, 1.0 as lines, 1.0 as bytes union all {found})"
+
+
+@query(f"{_index_sql()} select language, round(lines, 6) as lines, round(bytes, 6) as bytes from x")
 def index_fit(spark, d):
     return rounded(stats.fit(stats.pairs(samples(spark, d), SHARED), BASELINE), "lines", "bytes")
 
 
-@query()
+@query(
+    f"""{_index_sql()}, o as (select p."left", p."right", abs(p.bytes / (a.bytes / b.bytes) - 1) as off from p join x a on a.language = p."left" join x b on b.language = p."right")
+select language, round(max(off), 6) as deviation from (select "left" as language, off from o union all select "right", off from o) group by 1"""
+)
 def index_deviation(spark, d):
     p = stats.pairs(samples(spark, d), SHARED)
     return rounded(stats.deviation(p, stats.fit(p, BASELINE)), "deviation")
