@@ -52,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -62,6 +62,24 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_written_paths: list[str] = []
+
+
+def written(path: str) -> str:
+    """`path`, remembered for `clear`."""
+    _written_paths.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that the operators of this application have written to the shared folder; results not yet read go too."""
+    jvm, conf, n = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written_paths:
+        where = jvm.org.apache.hadoop.fs.Path(_written_paths.pop())
+        n += where.getFileSystem(conf).delete(where, True)
+    return n
+
+
 class Scratch:
     """Named tables in the shared folder, of which the outdated ones can be removed early."""
 

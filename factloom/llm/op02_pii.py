@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import span_sql
 from .common import load, whole
 from .textspan import CONTEXT, gaps_of, hits_of, joined, places
 
@@ -177,3 +178,25 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """The same rows by a second engine."""
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    part = lambda i: f"coalesce(try_cast(regexp_replace(split_part(hit, '.', {i}), '^0+', '') as hugeint), case when length(regexp_replace(split_part(hit, '.', {i}), '^0+', '')) = 0 then 0 else 256 end) <= 255"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: case when (length({digits}) - i) % 2 = 0 then substr({digits}, i, 1)::int else (2 * substr({digits}, i, 1)::int) // 10 + (2 * substr({digits}, i, 1)::int) % 10 end)) % 10 = 0"
+    plain = "replace(hit, ' ', '')"
+    turned = f"(substr({plain}, 5) || substr({plain}, 1, 4))"
+    mod97 = f"list_reduce(list_prepend(0::bigint, list_transform(string_split({turned}, ''), lambda c: case when c between '0' and '9' then c::bigint else ascii(c) - 55 end)), lambda a, v: (a * (case when v > 9 then 100 else 10 end) + v) % 97) = 1"
+    beside = f"lower(substr(text, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) || ' ' || substr(text, e + 1, {CONTEXT}))"
+    parts = [
+        span_sql.spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        span_sql.spans("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", " and ".join(map(part, range(1, 5)))),
+        span_sql.spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 16 and 19 and {luhn}"),
+        span_sql.spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 8 and 15"),
+        span_sql.spans("iban", 4, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", f"length({plain}) between 15 and 34 and {mod97}", "[^A-Za-z0-9]|^", "$|[^A-Za-z0-9]"),
+        f"select * from ({span_sql.spans('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 'true', '[^0-9-]|^', '$|[^0-9-]')}) where not regexp_matches(hit, '^(000|666|9..)|-00-|-0000$') and regexp_matches({beside}, {span_sql.quoted(CONTEXT_WORDS['ssn'])})",
+    ]
+    count = lambda i, k: f"count(*) filter (where rank = {i}) as n_{k}"
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents), f as (select *, rank as o1, s as o2 from ({' union all '.join(parts)}))
+select t.doc_id, {', '.join(count(i, k) for i, k in enumerate(BASE))}, sha256({span_sql.joined('rank < 4')}) as base_sha256, {span_sql.joined('rank is not null')} as spans from t left join f using (doc_id) group by t.doc_id"""

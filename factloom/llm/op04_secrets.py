@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import span_sql
 from .common import load, spread_join, whole
 from .textspan import gaps_of, hits_of, joined, places
 
@@ -97,3 +98,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """The same rows by a second engine."""
+    assign = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    parts = [
+        span_sql.spans("assign", 0, assign, f"length(regexp_extract(hit, {span_sql.quoted(assign)}, 1)) >= 8"),
+        span_sql.spans("access", 1, "AKIA[A-Z0-9]+", "length(hit) >= 16"),
+        span_sql.spans("hex", 2, "[0-9a-f]+", "length(hit) >= 32"),
+        span_sql.spans("forge", 3, "gh[pousr]_[A-Za-z0-9]{36,}", lead="[^A-Za-z0-9_]|^"),
+        span_sql.spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lead="[^A-Za-z0-9_-]|^"),
+        span_sql.spans("pem", 5, r"-----BEGIN\x20(?:[A-Z0-9]+\x20){0,4}PRIVATE\x20KEY-----"),
+    ]
+    count = lambda i, k: f"count(*) filter (where rank = {i}) as n_{k}"
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents), f as (select *, s as o1, rank as o2 from ({' union all '.join(parts)}))
+select t.doc_id, {', '.join(count(i, k) for i, k in enumerate(BASE))}, sha256({span_sql.joined('rank < 3')}) as base_sha256, {span_sql.joined('rank is not null')} as spans from t left join f using (doc_id) group by t.doc_id"""

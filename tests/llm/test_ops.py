@@ -689,3 +689,31 @@ def test_long_texts(spark):
     bench = spark.createDataFrame([(9, "a benchmark item that nobody else would ever write down in this way")], "item_id long, text string")
     held = spark.createDataFrame([(1, long + "a benchmark item that nobody else would ever write down in this way " + long)], "doc_id long, text string")
     assert [(r["item_id"], r["distance"]) for r in op1.leaks(held, bench).collect()] == [(9, 0)]
+
+
+def test_clear(spark):
+    """What the operators have written can be removed."""
+    import os
+
+    from factloom.llm.common import clear, shared_dir
+
+    op6.round_trip(spark.createDataFrame([(1, "a"), (2, "b" * 200000)], "doc_id long, text string")).count()
+    folder = shared_dir(spark).removeprefix("file:")
+    assert os.listdir(folder) and clear(spark) > 0
+    assert not [x for x in os.listdir(folder) if x.startswith(("media", "simhash", "words", "chat", "edges", "token"))]
+
+
+def test_sql(spark, docs, tmp_path):
+    """The queries that have SQL give what a second engine gives for it, on odd texts too."""
+    import duckdb
+
+    from factloom.llm.registry import ORACLE_SQL, QUERIES
+
+    more = [(5000 + i, t) for i, t in enumerate(["ghp_" + "a1" * 20 + " xghp_" + "b" * 40, "eyJabcdefghij.eyJabcdefghij.abcdefghij", "-----BEGIN RSA PRIVATE KEY-----", "SSN: 123-45-6789, 234-56-7890; 000-12-3456", "DE89370400440532013000", "a@b.c,d@e.f", "0000255.1.2.3 256.1.1.1"])]
+    docs.filter("doc_id IS NOT NULL").unionByName(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name, sql in ORACLE_SQL.items():
+        found = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(found.columns)} from ({sql})").fetchall()
+        assert sorted(map(tuple, found.collect())) == sorted(want)
