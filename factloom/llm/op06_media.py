@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, arrow_map, load, shared_dir, spread_join, stored, union_all, whole
+from .common import CLEANUP, arrow_map, load, shared_dir, spread_join, stored, union_all, whole, written
 
 LEAST, MASK_BITS, MOST = 4096, 14, 65536
 UNIT = 64
 BUCKET_BYTES = 16 << 20
+#: Chunks are moved and stored in so many turns, by digest: no more of them than that share lies on disks twice.
+ROUNDS = 2
 RATE = 8000
 _GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -100,8 +102,8 @@ def lists(docs: DataFrame, key: str, text: str) -> DataFrame:
     return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, sha binary, head binary, digests array<binary>")
 
 
-def pieces(docs: DataFrame, text: str) -> DataFrame:
-    """(digest, z): the chunks themselves, deflated by zstandard; a batch's repeats are left out at once."""
+def pieces(docs: DataFrame, text: str, turn: int) -> DataFrame:
+    """(digest, z): the chunks whose turn it is, deflated by zstandard; a batch's repeats are left out at once."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, text: str) -> DataFrame:
         for t in b.column(0):
             for c in chunks(payload(t.as_py())):
                 d = hashlib.sha256(c).digest()
-                if d not in seen:
+                if d[0] % ROUNDS == turn and d not in seen:
                     seen[d] = squeeze.compress(c)
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "z"])
 
@@ -121,12 +123,14 @@ def store_chunks(docs: DataFrame, text: str, n_bytes: int) -> DataFrame:
     """The chunk store: every different chunk once, in files of the shared folder bucketed by digest."""
     spark = docs.sparkSession
     n = max(2, -(-n_bytes // BUCKET_BYTES))
-    once = pieces(docs, text).repartition(n, "digest").groupBy("digest").agg(F.first("z").alias("z"))
     name = f"media_chunks_{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark)}/{name}")
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        once.write.bucketBy(n, "digest").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+        for turn in range(ROUNDS):
+            once = pieces(docs, text, turn).repartition(n, "digest").groupBy("digest").agg(F.first("z").alias("z"))
+            once.write.mode("append").bucketBy(n, "digest").option("compression", "none").option("path", path).format("parquet").saveAsTable(name)
     finally:
         spark.conf.set(CLEANUP, was)
     store = spark.table(name)
