@@ -24,10 +24,9 @@ def classify(lines: DataFrame) -> DataFrame:
     # The running count of begin lines, stretch by stretch: a long file isn't one task.
     df = df.withColumn("stretch", F.floor(F.col("line_no") / STRETCH))
     own = Window.partitionBy("file", "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    heads = df.filter(begins).groupBy("file", "stretch").agg(F.count("*").alias("n"))
-    every = df.select("file", "stretch").distinct().join(heads, ["file", "stretch"], "left")
     before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    base = every.select("file", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    heads = df.groupBy("file", "stretch").agg(F.sum(begins.cast("int")).alias("n"))
+    base = heads.select("file", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     df = df.withColumn("fn", F.sum(begins.cast("int")).over(own)).join(base, ["file", "stretch"]).withColumn("fn", F.col("fn") + F.col("base")).drop("stretch", "base")
     # A function is open from its begin line until its first end line.
     inside = Window.partitionBy("file", "fn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
