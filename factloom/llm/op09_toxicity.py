@@ -61,21 +61,28 @@ def _odds(a: float, b: float, total: dict[int, float], k: int) -> float:
 def contrasts(texts: dict[int, list[str]]) -> dict[int, list[tuple[float, str]]]:
     """Of each class the words and beginnings of words that tell it from the other, best first."""
     words = {k: [_WORD.findall(t.lower()) for t in rows] for k, rows in texts.items()}
+    begins = {x: starts(x) for x in {x for rows in words.values() for w in rows for x in w}}
     often: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for k, rows in words.items():
+        counted: Counter = Counter()
         for w in rows:
             for x, n in Counter(w).items():
-                for g in starts(x):
-                    often[k][g] += min(n, 4)
+                counted[x] += min(n, 4)
+        for x, n in counted.items():
+            for g in begins[x]:
+                often[k][g] += n
     total = {k: sum(map(len, words[k])) + 1.0 for k in words}
     rated = {k: sorted(((_odds(n, often[1 - k][g], total, k) * math.sqrt(n), g) for g, n in often[k].items() if n >= MIN_CONTEXTS), reverse=True)[:CANDIDATES] for k in words}
     asked = {g for rows in rated.values() for _, g in rows}
+    asks = {x: told for x, gs in begins.items() if (told := gs & asked)}
     met: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
     for k, rows in words.items():
         for w in rows:
             for a, b, c in zip(["", *w], w, [*w[1:], ""]):
-                for g in starts(b) & asked:
-                    met[k][g].add(zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass")))
+                if b in asks:
+                    place = zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass"))
+                    for g in asks[b]:
+                        met[k][g].add(place)
     found: dict[int, list] = {0: [], 1: []}
     for k in met:
         for g, near in met[k].items():
