@@ -268,13 +268,20 @@ class Items:
         begun = np.flatnonzero(np.diff(pair, prepend=-1)).tolist()
         for a, b in zip(begun, [*begun[1:], len(pair)]):
             d, k = int(doc[a]), int(item[a])
-            found = [x for begin, part in self.stretches(k, lines[d], place[a:b].tolist()) if (x := self.verify(k, lines[d], begin, part))]
+            at, line = int(first[d]), lines[d]
+            held = [(x, y) for x, y in self.stretches(k, line, place[a:b].tolist()) if self.holds(k, codes[at + x : max(at + x, at + y - GRAM + 1)])]
+            found = [x for begin, end in held if (x := self.verify(k, line, begin, end))]
             if found:
                 out[d].append((self.ids[k], *min(found, key=lambda x: x[0])))
         return out
 
-    def stretches(self, k: int, line: bytes, places: list[int]) -> list[tuple[int, str]]:
-        """(where it begins in bytes, the part of the line) of each stretch; places that lie near one another are one."""
+    def holds(self, k: int, codes: np.ndarray) -> bool:
+        """Whether a stretch, by its grams, has enough different ones of the item."""
+        own = codes[self.have[codes + (k << GRAM_BITS)]]
+        return len(own) >= self.need[k] and np.count_nonzero(np.bincount(own)) >= self.need[k]
+
+    def stretches(self, k: int, line: bytes, places: list[int]) -> list[tuple[int, int]]:
+        """Where each stretch of the line begins and ends, in bytes; places that lie near one another are one."""
         slack, wide = int(self.slack[k]), self.size[k]
         found: list[list[int]] = []
         for place in places:
@@ -290,16 +297,13 @@ class Items:
             while b < len(line) and line[b] & 0xC0 == 0x80:
                 b += 1
             if a < b:
-                out.append((a, line[a:b].decode("utf-8", "surrogatepass")))
+                out.append((a, b))
         return out
 
-    def verify(self, k: int, line: bytes, a: int, part: str) -> tuple | None:
-        """The best place of the item in a part of the line that begins at `a`."""
-        item, found = self.lines[k], grams(part.encode("utf-8", "surrogatepass"))
-        own = found[self.have[found + (k << GRAM_BITS)]]
-        if len(np.unique(own)) < self.need[k]:
-            return None
-        d, end = distance_within(self.masks[k], len(item), part)
+    def verify(self, k: int, line: bytes, a: int, b: int) -> tuple | None:
+        """The best place of the item in the line from byte `a` to `b`."""
+        item = self.lines[k]
+        d, end = distance_within(self.masks[k], len(item), line[a:b].decode("utf-8", "surrogatepass"))
         if d > self.budget[k]:
             return None
         before = len(line[:a].decode("utf-8", "surrogatepass"))
