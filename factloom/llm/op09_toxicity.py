@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections.abc import Iterator
+from heapq import nlargest
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ WINDOW, STRIDE = 48, 32
 BACKGROUND, OWN = (16384, 8, 64), (2048, 6, 16)
 MIN_CONTEXTS, MIN_ODDS, SHARE = 4, 1.5, 0.15
 CANDIDATES = 4000
+#: The fit's words are numbered and counted by so many at a time.
+SLICE = 1 << 16
 LEVEL = 9
 #: Every window begins as both dictionaries do. Without it zstandard would store a window as it is if little is saved, and
 #: hide the difference.
@@ -49,46 +53,85 @@ THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 _WORD = re.compile(r"\w+")
 
 
-def starts(word: str) -> set[str]:
-    """A word's beginnings of 3 to 8 letters, and the word itself, as they stand after a space."""
-    return {f" {word[:n]}" for n in range(3, min(8, len(word)) + 1)} | {f" {word} "}
-
-
 def _odds(a: float, b: float, total: dict[int, float], k: int) -> float:
     return math.log((a + 0.5) / total[k]) - math.log((b + 0.5) / total[1 - k])
 
 
+def numbered(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The different words of all texts in order, and all words of the texts as numbers of these, with 0 before and after each text."""
+    each = (x for t in [*texts, None] for x in chain([""], (m.group() for m in _WORD.finditer(t.lower())) if t else ()))
+    parts = []
+    while part := list(islice(each, SLICE)):
+        parts.append(pa.array([x.encode("utf-8", "surrogatepass") for x in part], pa.binary()).dictionary_encode())
+    coded = pa.chunked_array(parts).unify_dictionaries()
+    names = coded.chunk(0).dictionary
+    order = pc.array_sort_indices(names)
+    rank = np.empty(len(names), np.int32)
+    rank[order.to_numpy()] = np.arange(len(names), dtype=np.int32)
+    return names.take(order), np.concatenate([rank[c.indices.to_numpy()] for c in coded.chunks])
+
+
+def beginnings(names: pa.Array) -> Iterator[tuple[str, int, int]]:
+    """Every word and every beginning of words, of 3 to 8 letters, as they stand after a space, and the range of the words in `names` that begin so."""
+    begun: list[tuple[str, int]] = []
+    for s in range(1, len(names), SLICE):
+        for i, raw in enumerate(names.slice(s, SLICE).to_pylist(), s):
+            word = raw.decode("utf-8", "surrogatepass")
+            while begun and not word.startswith(begun[-1][0]):
+                x, first = begun.pop()
+                yield f" {x}", first, i
+            begun += [(word[:n], i) for n in range(3 + len(begun), min(8, len(word)) + 1)]
+            yield f" {word} ", i, i + 1
+    for x, first in begun:
+        yield f" {x}", first, len(names)
+
+
+def occurrences(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of `n` words occurs, at most four times a text, and between how many different pairs of neighbours; both summed up from the first word on."""
+    upto = np.bincount(words, minlength=n).cumsum()
+    often, places = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    first, ends = 1, np.flatnonzero(words == 0)
+    while first < n:
+        # Words of SLICE occurrences together at a time, or a single one.
+        last = max(first + 1, int(np.searchsorted(upto, upto[first - 1] + SLICE, "right")))
+        at = np.flatnonzero((words >= first) & (words < last))
+        at = at[np.argsort(words[at], kind="stable")]
+        w, text = words[at], np.searchsorted(ends, at)
+        more = np.zeros(len(at), bool)
+        more[4:] = (w[4:] == w[:-4]) & (text[4:] == text[:-4])
+        often[first + 1 : last + 1] = np.bincount(w[~more] - first, minlength=last - first)
+        near = words[at - 1].astype(np.int64) * n + words[at + 1]
+        o = np.lexsort((near, w))
+        w, near = w[o], near[o]
+        new = np.ones(len(at), bool)
+        new[1:] = (w[1:] != w[:-1]) | (near[1:] != near[:-1])
+        places[first + 1 : last + 1] = np.bincount(w[new] - first, minlength=last - first)
+        first = last
+    return often.cumsum(), places.cumsum()
+
+
 def contrasts(texts: dict[int, list[str]]) -> dict[int, list[tuple[float, str]]]:
     """Of each class the words and beginnings of words that tell it from the other, best first."""
-    words = {k: [_WORD.findall(t.lower()) for t in rows] for k, rows in texts.items()}
-    begins = {x: starts(x) for x in {x for rows in words.values() for w in rows for x in w}}
-    often: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for k, rows in words.items():
-        counted: Counter = Counter()
-        for w in rows:
-            for x, n in Counter(w).items():
-                counted[x] += min(n, 4)
-        for x, n in counted.items():
-            for g in begins[x]:
-                often[k][g] += n
-    total = {k: sum(map(len, words[k])) + 1.0 for k in words}
-    rated = {k: sorted(((_odds(n, often[1 - k][g], total, k) * math.sqrt(n), g) for g, n in often[k].items() if n >= MIN_CONTEXTS), reverse=True)[:CANDIDATES] for k in words}
-    asked = {g for rows in rated.values() for _, g in rows}
-    asks = {x: told for x, gs in begins.items() if (told := gs & asked)}
-    met: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    for k, rows in words.items():
-        for w in rows:
-            for a, b, c in zip(["", *w], w, [*w[1:], ""]):
-                if b in asks:
-                    place = zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass"))
-                    for g in asks[b]:
-                        met[k][g].add(place)
+    names, words = numbered(texts[0] + texts[1])
+    pa.default_memory_pool().release_unused()
+    cut = np.flatnonzero(words == 0)[len(texts[0])]
+    of = {0: words[: cut + 1], 1: words[cut:]}
+    total = {k: float(np.count_nonzero(of[k])) + 1.0 for k in of}
+    often, places = zip(*(occurrences(of[k], len(names)) for k in of))
+
+    def rated(k: int) -> Iterator[tuple[float, str, int, int]]:
+        for g, i, j in beginnings(names):
+            if (n := int(often[k][j] - often[k][i])) >= MIN_CONTEXTS:
+                yield _odds(n, int(often[1 - k][j] - often[1 - k][i]), total, k) * math.sqrt(n), g, i, j
+
+    asked = {g: (i, j) for k in of for _, g, i, j in nlargest(CANDIDATES, rated(k))}
     found: dict[int, list] = {0: [], 1: []}
-    for k in met:
-        for g, near in met[k].items():
-            odds = _odds(len(near), len(met[1 - k].get(g, ())), total, k)
-            if len(near) >= MIN_CONTEXTS and odds > MIN_ODDS:
-                found[k].append((odds * math.sqrt(len(near)), len(g), g))
+    for g, (i, j) in asked.items():
+        near = [int(places[k][j] - places[k][i]) for k in of]
+        for k in of:
+            odds = _odds(near[k], near[1 - k], total, k)
+            if near[k] >= MIN_CONTEXTS and odds > MIN_ODDS:
+                found[k].append((odds * math.sqrt(near[k]), len(g), g))
     best = max((x[0] for rows in found.values() for x in rows), default=0)
     out: dict[int, list[tuple[float, str]]] = {0: [], 1: []}
     for k, rows in found.items():
@@ -121,16 +164,16 @@ def dictionaries(texts: dict[int, list[str]]) -> dict[int, bytes]:
     background = trained([f" {t} ".encode("utf-8", "surrogatepass") for t in plain], *BACKGROUND)
     own: dict[int, bytes] = {}
     for k, gs in begins.items():
-        samples = ["".join(f" {w}" for w in _WORD.findall(t.lower()) if f" {w} ".startswith(gs)) for t in texts[k]] if gs else []
+        samples = ["".join(f" {w}" for m in _WORD.finditer(t.lower()) if f" {(w := m.group())} ".startswith(gs)) for t in texts[k]] if gs else []
         own[k] = trained([f"{x} ".encode("utf-8", "surrogatepass") for x in samples if x], *OWN) if any(samples) else b""
     # Bytes that no text has fill the shorter one up, so that the background lies equally far in both.
     wide = max(map(len, own.values()))
     return {k: LEAD + background + b"\xff" * (wide - len(x)) + x + TAIL for k, x in own.items()}
 
 
-def windows(text: str) -> list[bytes]:
+def windows(text: str) -> Iterator[bytes]:
     raw = flat(text).encode("utf-8", "surrogatepass")
-    return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STRIDE)), STRIDE)]
+    return (raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STRIDE)), STRIDE))
 
 
 class Scorer:
@@ -144,7 +187,7 @@ class Scorer:
     def evidence(self, text: str) -> list[float]:
         """Logs of how many windows there are, how many the toxic dictionary makes shorter by each threshold, how many longer by FLOOR."""
         a, b = self.press[0], self.press[1]
-        saved = [len(a(LEAD + w)) - len(b(LEAD + w)) for w in windows(text)]
+        saved = np.fromiter((len(a(LEAD + w)) - len(b(LEAD + w)) for w in windows(text)), np.int64)
         counts = np.bincount(np.clip(saved, -FLOOR, TOP) + FLOOR, minlength=FLOOR + TOP + 1)
         over = counts[::-1].cumsum()[::-1]
         return [math.log1p(x) for x in (len(saved), *(over[FLOOR + t] for t in THRESHOLDS), counts[0])]

@@ -1,8 +1,12 @@
 """The ten operators against brute force, exact round trips and held-out accuracy; edge cases of each."""
 
 import hashlib
+import math
+import pathlib
 import re
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -477,6 +481,55 @@ def test_toxicity_words():
         assert sum(found) >= 0.85 * len(found)
 
 
+def test_toxicity_counts(monkeypatch):
+    """Telling words by their definition: capped counts, different neighbours, beginnings; also where words are counted few at a time."""
+    rng = np.random.default_rng(5)
+    letters = list("abé🙂_")
+    pool = ["".join(rng.choice(letters, int(rng.integers(1, 11)))) for _ in range(60)] + ["abab" * 5, "straße", "İİab", "a\ud800"]
+    for size, few in ((3, 1), (6, 30), (60, 40), (64, 120)):
+        texts = {k: [" ".join(rng.choice(pool[k * size // 3 : size - (1 - k) * size // 3], int(rng.integers(0, 40)))) + ["", "\n!", "."][i % 3] for i in range(few)] + ["", " -- "] for k in (0, 1)}
+        words = {k: [op9._WORD.findall(t.lower()) for t in texts[k]] for k in texts}
+        total = {k: sum(map(len, words[k])) + 1.0 for k in words}
+        begins = lambda w: {f" {w[:n]}" for n in range(3, min(8, len(w)) + 1)} | {f" {w} "}
+        grams = {g for rows in words.values() for w in rows for x in w for g in begins(x)}
+        often = {k: {g: sum(min(4, w.count(x)) for w in rows for x in set(w) if g in begins(x)) for g in grams} for k, rows in words.items()}
+        near = {k: {g: len({(a, b, c) for w in rows for a, b, c in zip(["", *w], w, [*w[1:], ""]) if g in begins(b)}) for g in grams} for k, rows in words.items()}
+        odds = lambda n, g, k: math.log((n[k][g] + 0.5) / total[k]) - math.log((n[1 - k][g] + 0.5) / total[1 - k])
+        asked = {g for k in (0, 1) for _, g in sorted(((odds(often, g, k) * often[k][g] ** 0.5, g) for g in grams if often[k][g] >= op9.MIN_CONTEXTS), reverse=True)[:25]}
+        found = {k: sorted(((odds(near, g, k) * near[k][g] ** 0.5, len(g), g) for g in asked if near[k][g] >= op9.MIN_CONTEXTS and odds(near, g, k) > op9.MIN_ODDS), reverse=True) for k in (0, 1)}
+        best, want = max((x[0] for rows in found.values() for x in rows), default=0), {0: [], 1: []}
+        for k, rows in found.items():
+            for score, _, g in rows:
+                if score >= op9.SHARE * best and not any(g.startswith(x) or x.startswith(g) for x in want[k]):
+                    want[k].append(g)
+        monkeypatch.setattr(op9, "CANDIDATES", 25)
+        for at_a_time in (1, 7, 1 << 16):
+            monkeypatch.setattr(op9, "SLICE", at_a_time)
+            assert {k: [g for _, g in rows] for k, rows in op9.contrasts(texts).items()} == want
+    assert want[0] and want[1]
+
+
+def test_toxicity_memory():
+    """The driver looks for telling words in a few bytes for each character: its limit is little more than its JVM."""
+    code = """
+import re, threading, time
+import pyarrow.parquet as pq
+from factloom.llm import op09_toxicity as op9
+texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist() if t]
+texts = {k: texts[k::2] for k in (0, 1)}
+pss = lambda: sum(map(int, re.findall(r"\\nPss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) * 1024
+before, most, over = pss(), [0], threading.Event()
+watch = threading.Thread(target=lambda: [most.append(max(most.pop(), pss())) for _ in iter(lambda: over.wait(0.02), True)])
+watch.start()
+op9.contrasts(texts)
+over.set()
+watch.join()
+print((most[0] - before) / sum(len(t) for rows in texts.values() for t in rows))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=pathlib.Path(op9.__file__).parents[2])
+    assert 0 < float(out.stdout) < 8, out.stdout
+
+
 def test_chat(spark, sf):
     rows = [
         (1, 0, "user", "How do I sort a list of words?\nIt is long."),
